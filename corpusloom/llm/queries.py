@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import same_record, survivor, visual_form
+from corpusloom.llm import same_record, segment_join, survivor, visual_form
 from corpusloom.llm.tables import table, two_tables
 
 TARGETS = ["Saudi", "Egyptian", "Levantine", "Maghrebi"]
@@ -31,6 +31,34 @@ def p1_records(spark: SparkSession, folder: str) -> DataFrame:
     return same_record.union(out)
 
 
+def _overlaps(spark: SparkSession, folder: str) -> list[DataFrame]:
+    (_, interim), (_, leakage) = two_tables(spark, folder, "processed_text")
+    split = F.col("split_name")
+    side = F.when(split == "train_core", True).when(split == "dev_core", False)
+    interim_pairs = segment_join.similar(interim, side)
+    side = F.when(split == "train_core", True).when(split.isin("ood_2020_dev", "ood_2021_dev"), False)
+    by_text, by_source = segment_join.similar(leakage, side), segment_join.same_source(leakage, side)
+    return [interim_pairs, by_text.union(by_source).distinct()]
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Training and evaluation records that are the same or almost."""
+    pairs = same_record.union(_overlaps(spark, folder))
+    return pairs.select(F.least("e", "t").alias("id_a"), F.greatest("e", "t").alias("id_b"))
+
+
+def p2_overlaps(spark: SparkSession, folder: str) -> DataFrame:
+    """Overlaps by table, evaluation split and source: pairs and evaluation records."""
+    out = []
+    for (name, df), pairs in zip(two_tables(spark, folder, "processed_text"), _overlaps(spark, folder), strict=True):
+        of = df.select(F.col("record_id").alias("e"), "split_name", "source_dataset")
+        per_record = pairs.groupBy("e").agg(F.count(F.lit(1)).alias("n"))
+        counted = per_record.join(of, "e").groupBy("split_name", "source_dataset")
+        counts = counted.agg(F.sum("n").alias("n_pairs"), F.count(F.lit(1)).alias("n_records"))
+        out.append(counts.select(F.lit(name).alias("table_name"), "split_name", "source_dataset", "n_pairs", "n_records"))
+    return same_record.union(out)
+
+
 def _survivor_rows(spark: SparkSession, folder: str) -> DataFrame:
     columns = ["loaded_at", "source_dataset", "raw_label", "macro_label"]
     rows = same_record.members(same_record.keyed(table(spark, folder, "interim_dataset"), _names(spark, folder), extra=columns))
@@ -64,6 +92,7 @@ def p6_forms(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found, "p1_records": p1_records,
+    "p2_found": p2_found, "p2_overlaps": p2_overlaps,
     "p3_found": p3_found, "p3_survivors": p3_survivors,
     "p6_found": p6_found, "p6_forms": p6_forms,
 }
