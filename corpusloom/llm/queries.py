@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import same_record, segment_join, survivor, visual_form
+from corpusloom.llm import bpe, metric_join, mixing, quota_sample, same_record, segment_join, survivor, visual_form
 from corpusloom.llm.tables import table, two_tables
+from corpusloom.plans.lineage import cut
 
 TARGETS = ["Saudi", "Egyptian", "Levantine", "Maghrebi"]
 
@@ -77,6 +78,39 @@ def p3_survivors(spark: SparkSession, folder: str) -> DataFrame:
     return chosen.groupBy("first_id").agg(*values.values())
 
 
+def _leakage(spark: SparkSession, folder: str) -> DataFrame:
+    return two_tables(spark, folder, "processed_text")[1][1]
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of records that share most of their words."""
+    return metric_join.similar(_leakage(spark, folder))
+
+
+def p4_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """The group of every record, and with how many records it is linked."""
+    return metric_join.groups(_leakage(spark, folder))
+
+
+def _posts(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    return table(spark, folder, "interim_dataset"), table(spark, folder, "sample_targets")
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Categories whose target share or least number can't be met."""
+    return quota_sample.unmet(*_posts(spark, folder))
+
+
+def p5_sample(spark: SparkSession, folder: str) -> DataFrame:
+    """The drawn rows of every target."""
+    return quota_sample.sample(*_posts(spark, folder))
+
+
+def p5_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Wanted and drawn rows and shares by target and category."""
+    return quota_sample.report(*_posts(spark, folder))
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of different strings that show the same line."""
     return same_record.union([visual_form.alike(df) for _, df in two_tables(spark, folder, "original_text")])
@@ -90,10 +124,40 @@ def p6_forms(spark: SparkSession, folder: str) -> DataFrame:
     return same_record.union(out)
 
 
+def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """Token ids of every document."""
+    return bpe.encoded(table(spark, folder, "documents"))
+
+
+def _mix(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    tokens = cut(bpe.counted(table(spark, folder, "documents")))
+    return tokens, mixing.rates(tokens, table(spark, folder, "mix_targets"))
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Sources that can't reach their weight."""
+    return _mix(spark, folder)[1].where("unmet").select("source")
+
+
+def p8_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """Copies of every document of a listed source."""
+    return mixing.copies(*_mix(spark, folder)).select("doc_id", "copies")
+
+
+def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Wanted and actual share of every source."""
+    tokens, rate = _mix(spark, folder)
+    return mixing.shares(mixing.copies(tokens, rate), rate)
+
+
 QUERIES = {
     "p1_found": p1_found, "p1_records": p1_records,
     "p2_found": p2_found, "p2_overlaps": p2_overlaps,
     "p3_found": p3_found, "p3_survivors": p3_survivors,
+    "p4_found": p4_found, "p4_groups": p4_groups,
+    "p5_found": p5_found, "p5_sample": p5_sample, "p5_report": p5_report,
     "p6_found": p6_found, "p6_forms": p6_forms,
+    "p7_ids": p7_ids,
+    "p8_found": p8_found, "p8_mix": p8_mix, "p8_shares": p8_shares,
 }
 ORACLES: dict[str, str] = {}
