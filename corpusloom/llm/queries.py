@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, metric_join, mixing, quota_sample, same_record, segment_join, survivor, visual_form
+from corpusloom.llm import bpe, metric_join, mixing, prose, quota_sample, same_record, segment_join, survivor, visual_form
 from corpusloom.llm.tables import table, two_tables
 from corpusloom.plans.lineage import cut
 
@@ -150,6 +150,16 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.shares(mixing.copies(tokens, rate), rate)
 
 
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that aren't natural prose."""
+    return prose.not_prose(table(spark, folder, "documents"), table(spark, folder, "common_words"))
+
+
+def p9_statistics(spark: SparkSession, folder: str) -> DataFrame:
+    """The statistics of every document and how much each adds to its distance."""
+    return prose.measured(table(spark, folder, "documents"), table(spark, folder, "common_words"))
+
+
 QUERIES = {
     "p1_found": p1_found, "p1_records": p1_records,
     "p2_found": p2_found, "p2_overlaps": p2_overlaps,
@@ -159,5 +169,6 @@ QUERIES = {
     "p6_found": p6_found, "p6_forms": p6_forms,
     "p7_ids": p7_ids,
     "p8_found": p8_found, "p8_mix": p8_mix, "p8_shares": p8_shares,
+    "p9_found": p9_found, "p9_statistics": p9_statistics,
 }
 ORACLES: dict[str, str] = {}
