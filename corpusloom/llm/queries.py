@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import bpe, metric_join, mixing, prose, quota_sample, same_record, segment_join, survivor, visual_form
+from corpusloom.llm.oracles import ORACLES as ORACLES
 from corpusloom.llm.tables import table, two_tables
 from corpusloom.plans.lineage import cut
 
@@ -171,4 +172,4 @@ QUERIES = {
     "p8_found": p8_found, "p8_mix": p8_mix, "p8_shares": p8_shares,
     "p9_found": p9_found, "p9_statistics": p9_statistics,
 }
-ORACLES: dict[str, str] = {}
+
