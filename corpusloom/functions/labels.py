@@ -44,8 +44,8 @@ def label_index(label: Column) -> Column:
 
 
 def index_label(index: Column) -> Column:
-    """Target label at a position."""
-    return F.element_at(F.array(*[F.lit(x) for x in LABELS]), index + 1)
+    """Target label at a position; null for a null position."""
+    return F.when(index.isNotNull(), F.element_at(F.array(*[F.lit(x) for x in LABELS]), index + 1))
 
 
 def label_dimension(spark: SparkSession) -> DataFrame:

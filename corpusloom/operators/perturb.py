@@ -34,9 +34,9 @@ def typo_noise(text: Column, key: Column, edits: int = 3) -> Column:
 def elongation(text: Column, key: Column) -> Column:
     """The first long vowel repeated two to four times; no vowel, no change."""
     times = (choice(key, "elongation", 3) + 2).cast("int")
-    at = F.regexp_instr(text, F.lit(f"[{''.join(VOWELS)}]"))
+    at = F.length(F.regexp_extract(text, f"^[^{''.join(VOWELS)}]*", 0)) + 1
     vowel = F.substr(text, at, F.lit(1))
-    return F.when(at > 0, F.concat(F.substr(text, F.lit(1), at - 1), F.repeat(vowel, times), F.substr(text, at + 1, F.length(text)))).otherwise(text)
+    return F.when(at <= F.length(text), F.concat(F.substr(text, F.lit(1), at - 1), F.repeat(vowel, times), F.substr(text, at + 1, F.length(text)))).otherwise(text)
 
 
 def placeholder_noise(text: Column, key: Column) -> Column:
