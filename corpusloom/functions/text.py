@@ -22,7 +22,7 @@ USER_TOKEN = r"(?<![\p{L}\p{N}_<])USER(?![\p{L}\p{N}_>])"
 VOWELS = r"[\x{610}-\x{61a}\x{64b}-\x{65f}\x{670}\x{6d6}-\x{6ed}]"
 ELONGATED = r"([A-Za-z\x{621}-\x{64a}])\1{2,}"
 #: Stands for an e-mail address while the other steps run.
-HELD = ""
+HELD = chr(0xE000)
 
 
 def strip_ws(text: Column) -> Column:
