@@ -26,7 +26,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -158,13 +158,17 @@ def alike(df: DataFrame, text: str = "text") -> DataFrame:
     """(id_a, id_b) of records whose strings differ but whose forms are equal.
 
     Forms with a single string (plain copies, however many) leave before the
-    join, so only true variants are paired; the pairs are the result itself.
+    join.  Strings are paired, not records: each pair of strings is then written
+    out for the records that hold them, so copies of one string never meet.
     """
     held = df.where(F.col(text).rlike(r"[\p{L}\p{N}]")).select("record_id", F.col(text).alias("text"))
     rows = formed(held).select("record_id", *key128(F.col("form")), F.xxhash64("text").alias("raw"))
     varied = rows.groupBy("k1", "k2").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).where("lo <> hi").select("k1", "k2")
     kept = rows.join(varied, ["k1", "k2"], "left_semi")
-    a, b = kept.alias("a"), kept.alias("b")
-    match: Column = (F.col("a.k1") == F.col("b.k1")) & (F.col("a.k2") == F.col("b.k2"))
-    match &= (F.col("a.record_id") < F.col("b.record_id")) & (F.col("a.raw") != F.col("b.raw"))
-    return a.join(b, match).select(F.col("a.record_id").alias("id_a"), F.col("b.record_id").alias("id_b"))
+    strings = kept.select("k1", "k2", "raw").distinct()
+    first, second = strings.withColumnRenamed("raw", "raw_x"), strings.withColumnRenamed("raw", "raw_y")
+    pairs = first.join(second, ["k1", "k2"]).where("raw_x < raw_y")
+    x = kept.select("k1", "k2", F.col("raw").alias("raw_x"), F.col("record_id").alias("x"))
+    y = kept.select("k1", "k2", F.col("raw").alias("raw_y"), F.col("record_id").alias("y"))
+    found = pairs.join(x, ["k1", "k2", "raw_x"]).join(y, ["k1", "k2", "raw_y"])
+    return found.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))

@@ -67,3 +67,9 @@ def test_pairs(spark, rows):
     assert rows(V.alike(df.where("false"))) == []
     forms = dict(rows(V.formed(df).select("record_id", "form")))
     assert forms[4] is None and forms[5] == "" and forms[6] == ""
+
+
+def test_hot_string_with_a_variant(spark):
+    data = [(i, "hello") for i in range(3000)] + [(5000, "hel" + chr(0x200B) + "lo")]
+    got = V.alike(spark.createDataFrame(data, "record_id long, text string"))
+    assert got.count() == 3000 and got.where("id_b <> 5000").isEmpty()
