@@ -12,9 +12,10 @@ no copy is needed, so the join is exact.
 
 Regions of more than REGION documents are joined recursively: their pivot takes
 one more word (the next one that a pair shares), again with the window that the
-radius allows.  Inside a region the distances to the pivot bound a pair from
-below, which leaves partners of similar size and position; the rest is verified
-by the exact distance.  A pair is written in one region only, that of the first
+radius allows.  Regions that are still large at the last depth are cut into
+rings: a document is copied to the partner sizes that its distances to the pivot
+and to the empty set allow, and only complementary copies meet.  What meets is
+verified by the exact distance.  A pair is written in one region only, that of the first
 words both have, so nothing has to be made distinct.
 
 Words are ordered by frequency, rare first.  The order need only be the same for
@@ -28,6 +29,7 @@ no pair; an empty table gives no row.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +42,8 @@ from corpusloom.plans.components import components
 from corpusloom.plans.lineage import cut
 from corpusloom.plans.shipping import ship
 
-#: Similarity above 7/10.
-T_NUM, T_DEN = 7, 10
+#: Similarity above 7/10, as a fraction.
+THRESHOLD = (7, 10)
 #: Documents that a region may hold before it is split, and the most words of a pivot.
 REGION, DEPTH = 64, 3
 FREQUENT = 16384
@@ -56,10 +58,12 @@ def documents(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _ordered(sets: DataFrame) -> DataFrame:
-    """k1, k2 and the words of each set of three or more, rare ones first.
+    """k1, k2, side and the words of each set of three or more, rare ones first.
 
     Smaller sets have no partner above 7/10 but their equals.
     """
+    if "side" not in sets.columns:
+        sets = sets.withColumn("side", F.lit(0))
     total = sets.agg(F.sum(F.size("w")).alias("t")).first()["t"] or 0
     counts = sets.select(F.explode("w").alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("n"))
     often = counts.where(F.col("n") >= max(2, -(-total // FREQUENT))).collect()
@@ -78,57 +82,66 @@ def _ordered(sets: DataFrame) -> DataFrame:
                 count = np.where(words[at] == values, weight[at], 0)
             sorted_ = values[np.lexsort((values, count, rows))]
             w = pa.ListArray.from_arrays(pa.array((offsets - offsets[0]).astype(np.int32)), pa.array(sorted_))
-            yield pa.RecordBatch.from_arrays([batch.column("k1"), batch.column("k2"), w], ["k1", "k2", "w"])
+            yield pa.RecordBatch.from_arrays([batch.column("k1"), batch.column("k2"), batch.column("side"), w], ["k1", "k2", "side", "w"])
 
-    return sets.where("size(w) >= 3").select("k1", "k2", "w").mapInArrow(run, "k1 long, k2 long, w array<long>")
+    return sets.where("size(w) >= 3").select("k1", "k2", "side", "w").mapInArrow(run, "k1 long, k2 long, side int, w array<long>")
 
 
-def _least_common(n: Column) -> Column:
-    """Words that a set of ``n`` shares with any partner, at least."""
-    return F.floor(n * T_NUM / T_DEN).cast("int") + 1
-
-
-def _windows(rows: DataFrame, depth: int) -> DataFrame:
-    """Copies of ``rows`` (k1, k2, w, i, path) in the regions of pivots with ``depth`` words."""
+def _windows(rows: DataFrame, depth: int, t: tuple[int, int]) -> DataFrame:
+    """Copies of ``rows`` (k1, k2, side, w, i, path) in the regions of pivots with ``depth`` words."""
     n = F.size("w")
-    last = n - _least_common(n) + depth - 1
-    grown = rows.select("k1", "k2", "w", "path", F.explode(F.sequence(F.col("i") + 1, last)).alias("i"))
+    least_common = F.floor(n * t[0] / t[1]).cast("int") + 1
+    grown = rows.select("k1", "k2", "side", "w", "path", F.explode(F.sequence(F.col("i") + 1, n - least_common + depth - 1)).alias("i"))
     longer = F.concat("path", F.array(F.element_at("w", F.col("i") + 1)))
-    return grown.select("k1", "k2", "w", "i", longer.alias("path")).withColumn("region", F.xxhash64("path"))
+    return grown.select("k1", "k2", "side", "w", "i", longer.alias("path")).withColumn("region", F.xxhash64("path"))
+
 
+def _pairs(rows: DataFrame, depth: int, t: tuple[int, int], two_sided: bool, rings: bool) -> DataFrame:
+    """Pairs above the threshold whose first ``depth`` common words are the region's.
 
-def _pairs(rows: DataFrame, depth: int) -> DataFrame:
-    """Pairs above the threshold whose first ``depth`` common words are the region's."""
+    With ``rings`` documents meet only others of a size that their place in the
+    region allows: after the pivot's last word too few words may be left to reach
+    the threshold with a larger partner.  This keeps large regions of documents
+    that share a pivot but little else from being compared with each other.
+    """
+    if rings:
+        n, left = F.size("w"), F.size("w") - F.col("i") + depth - 1
+        low = F.floor(n * t[0] / t[1]).cast("int") + 1
+        high = F.floor((left * (t[0] + t[1]) - 1) / t[0]).cast("int") - n
+        rows = rows.where(high >= low).withColumn("n", n).withColumn("m", F.explode(F.sequence(low, F.greatest(low, high))))
     a, b = rows.alias("a"), rows.alias("b")
     na, nb = F.size("a.w"), F.size("b.w")
     order = (F.col("a.k1") < F.col("b.k1")) | ((F.col("a.k1") == F.col("b.k1")) & (F.col("a.k2") < F.col("b.k2")))
-    enough = lambda o: o * (T_NUM + T_DEN) > (na + nb) * T_NUM
+    if two_sided:
+        order = (F.col("a.side") == 0) & (F.col("b.side") == 1)
+    enough = lambda o: o * (t[0] + t[1]) > (na + nb) * t[0]
     ahead = F.least(na - F.col("a.i"), nb - F.col("b.i")) + (depth - 1)
     common = F.array_intersect("a.w", "b.w")
-    match = (F.col("a.region") == F.col("b.region")) & order & enough(F.least(na, nb)) & enough(ahead)
+    match: Column = F.col("a.region") == F.col("b.region")
+    if rings:
+        match &= (F.col("a.n") == F.col("b.m")) & (F.col("a.m") == F.col("b.n"))
+    match &= order & enough(F.least(na, nb)) & enough(ahead)
     match &= enough(F.size(common)) & (F.slice(common, 1, depth) == F.col("a.path"))
     return a.join(b, match).select(F.col("a.k1").alias("a1"), F.col("a.k2").alias("a2"), F.col("b.k1").alias("b1"), F.col("b.k2").alias("b2"))
 
 
-def set_pairs(sets: DataFrame) -> DataFrame:
-    """(a1, a2, b1, b2) of different word sets above the threshold, each pair once."""
+def set_pairs(sets: DataFrame, t: tuple[int, int] = THRESHOLD, two_sided: bool = False) -> DataFrame:
+    """(a1, a2, b1, b2) of different word sets above the threshold, each pair once.
+
+    With ``two_sided`` only pairs of a set of side 0 and one of side 1 (int column
+    ``side``), equal ones included; the sets then need three words or more.
+    """
     ship(sets.sparkSession)
     rows = _ordered(sets).withColumns({"i": F.lit(-1), "path": F.array().cast("array<long>")})
     found = []
     for depth in range(1, DEPTH + 1):
-        copies = _windows(rows, depth)
+        copies = _windows(rows, depth, t)
         held = copies.groupBy("region").agg(F.count(F.lit(1)).alias("n_held")).where("n_held > 1")
-        met = copies.join(held, "region")
-        if depth < DEPTH:
-            met = cut(met)
-            found.append(_pairs(met.where(F.col("n_held") <= REGION), depth))
-            rows = met.where(F.col("n_held") > REGION)
-        else:
-            found.append(_pairs(met, depth))
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out
+        met = cut(copies.join(held, "region"))
+        found.append(_pairs(met.where(F.col("n_held") <= REGION), depth, t, two_sided, rings=False))
+        rows = met.where(F.col("n_held") > REGION)
+    found.append(_pairs(rows, DEPTH, t, two_sided, rings=True))
+    return reduce(DataFrame.unionByName, found)
 
 
 def similar(df: DataFrame) -> DataFrame:

@@ -28,9 +28,10 @@ def brute(data):
     return sorted((i, j) for i, a in sets for j, b in sets if i < j and a and 10 * len(a & b) > 7 * len(a | b))
 
 
-@pytest.mark.parametrize(("seed", "region"), [(1, 64), (2, 3), (3, 2)])
-def test_equals_all_pairs(spark, rows, monkeypatch, seed, region):
-    monkeypatch.setattr(J, "REGION", region)  # small regions force the recursion
+@pytest.mark.parametrize(("seed", "region", "depth"), [(1, 64, 3), (2, 3, 3), (3, 2, 2), (4, 1, 1)])
+def test_equals_all_pairs(spark, rows, monkeypatch, seed, region, depth):
+    monkeypatch.setattr(J, "REGION", region)  # small regions force the recursion and the rings
+    monkeypatch.setattr(J, "DEPTH", depth)
     data = make(seed)
     df = spark.createDataFrame(data, "record_id long, text string")
     assert rows(J.similar(df)) == sorted(brute(data), key=repr)
