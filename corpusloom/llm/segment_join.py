@@ -30,11 +30,15 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.hashing import key128
 from corpusloom.functions.words import word_set
+from corpusloom.llm import metric_join
 from corpusloom.plans.lineage import cut
 from corpusloom.plans.shipping import ship
 
 #: The threshold t as a fraction: similarity above 4/5.
 T_NUM, T_DEN = 4, 5
+#: Evaluation sequences that share a segment before it counts as hot, at least;
+#: beyond that the 65536th part of all segments, so no more than 65536 are hot.
+HOT_ROWS, HOT_KEYS = 64, 65536
 
 
 def _edits(l: Column) -> Column:
@@ -140,6 +144,26 @@ def classes(df: DataFrame, side: Column) -> DataFrame:
     return rows.where("train is not null and size(w) > 0").select("record_id", "train", *key128(F.col("w")), "w")
 
 
+def hot_segments(e: DataFrame) -> DataFrame:
+    """h of segments of five words' texts or longer that too many sequences share."""
+    counts = e.where("l >= 5").groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    often = cut(counts.where(F.col("n") >= HOT_ROWS))
+    if often.isEmpty():
+        return often.select("h")
+    least = -(-e.count() // HOT_KEYS)
+    return often.where(F.col("n") >= least).select("h")
+
+
+def _through_regions(sets: DataFrame, e: DataFrame, t: DataFrame, hot: DataFrame) -> DataFrame:
+    """Pairs among the sequences that have a hot segment, by the region join."""
+    few = F.broadcast(hot)
+    of = lambda df, key: df.join(few, "h", "left_semi").select(F.col(key).alias("k1")).distinct()
+    left = sets.where("not train and size(w) >= 5").join(of(e, "e1"), "k1", "left_semi").withColumn("side", F.lit(0))
+    right = sets.where("train and size(w) >= 5").join(of(t, "t1"), "k1", "left_semi").withColumn("side", F.lit(1))
+    pairs = metric_join.set_pairs(cut(left.unionByName(right)), (T_NUM, T_DEN), two_sided=True)
+    return pairs.select(F.col("a1").alias("e1"), F.col("a2").alias("e2"), F.col("b1").alias("t1"), F.col("b2").alias("t2"))
+
+
 def similar(df: DataFrame, side: Column) -> DataFrame:
     """(e, t) record ids of evaluation and training records above the threshold."""
     ship(df.sparkSession)
@@ -153,11 +177,17 @@ def similar(df: DataFrame, side: Column) -> DataFrame:
     a, l, most = F.col("a").cast("int"), F.col("l").cast("int"), _pair_edits(F.col("a").cast("int"), F.col("l").cast("int"))
     shift = F.col("pt").cast("int") - F.col("pe").cast("int")
     near = (F.abs(a - l) <= most) & (shift * 2 >= -(most - a + l)) & (shift * 2 <= most + a - l)
+    hot = hot_segments(e)
+    found = None
+    if not hot.isEmpty():
+        found = _through_regions(sets, e, t, hot)
+        e = e.join(F.broadcast(hot.withColumn("hot", F.lit(True))), "h", "left").where("hot is null or l < 5").drop("hot")
     pairs = e.join(t, "h").where(near).select("e1", "t1").distinct()
     we = sets.where("not train").select(F.col("k1").alias("e1"), F.col("k2").alias("e2"), F.col("w").alias("we"))
     wt = sets.where("train").select(F.col("k1").alias("t1"), F.col("k2").alias("t2"), F.col("w").alias("wt"))
     checked = pairs.join(we, "e1").join(wt, "t1").select("e1", "e2", "t1", "t2", "we", "wt")
-    found = checked.mapInArrow(_verify, "e1 long, e2 long, t1 long, t2 long")
+    direct = checked.mapInArrow(_verify, "e1 long, e2 long, t1 long, t2 long")
+    found = direct if found is None else direct.unionByName(found).distinct()
     ids = rows.select("record_id", "train", "k1", "k2")
     eid = ids.where("not train").select(F.col("record_id").alias("e"), F.col("k1").alias("e1"), F.col("k2").alias("e2"))
     tid = ids.where("train").select(F.col("record_id").alias("t"), F.col("k1").alias("t1"), F.col("k2").alias("t2"))

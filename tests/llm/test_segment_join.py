@@ -39,8 +39,9 @@ def brute(data):
     )
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_equals_all_pairs(spark, rows, seed):
+@pytest.mark.parametrize(("seed", "hot"), [(1, 64), (2, 64), (2, 2), (3, 1)])
+def test_equals_all_pairs(spark, rows, monkeypatch, seed, hot):
+    monkeypatch.setattr(J, "HOT_ROWS", hot)  # small values send texts through the regions
     data = make(300, seed)
     df = spark.createDataFrame(data, "record_id long, split_name string, text string").withColumn("e1", F.lit("clash"))
     assert rows(J.similar(df, side())) == sorted(brute(data), key=repr)
@@ -70,3 +71,11 @@ def test_banded_distance():
         got = J.banded(pad(a, -1), la, pad(b, -2), lb, np.full(len(pairs), k))
         want = [len(set(x) ^ set(y)) <= k for x, y in pairs]
         assert [g and abs(len(x) - len(y)) <= k for g, x, y in zip(got, a, b, strict=True)] == want
+
+
+def test_template_with_many_fillings(spark, rows):
+    template = " ".join(f"t{i}" for i in range(12))
+    data = [(i, "train" if i % 2 else "dev", f"{template} a{i} b{i} c{i} d{i} e{i}") for i in range(400)]
+    data += [(900, "dev", f"{template} a1 b1 c1 d1 zz")]
+    df = spark.createDataFrame(data, "record_id long, split_name string, text string")
+    assert rows(J.similar(df, side())) == [(900, 1)]
