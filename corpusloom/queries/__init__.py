@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from corpusloom.queries import curation, evaluation, features, leakage, text
+from corpusloom.queries import curation, evaluation, features, leakage, small, text
 
-MODULES = [text, curation, leakage, evaluation, features]
+MODULES = [text, curation, leakage, evaluation, features, small]
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
