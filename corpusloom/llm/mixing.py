@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusloom.functions.hashing import unit
@@ -131,8 +132,6 @@ def shares(mixed: DataFrame, rate: DataFrame) -> DataFrame:
     """Wanted and actual share of each source in the mix."""
     got = mixed.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("mixed_tokens"))
     rows = rate.join(got, "source", "left").withColumn("mixed_tokens", F.coalesce("mixed_tokens", F.lit(0)))
-    everything = rows.groupBy(F.lit(1).alias("one")).agg(F.sum("mixed_tokens").alias("all_tokens"))
-    share = F.when(F.col("all_tokens") > 0, F.col("mixed_tokens") / F.col("all_tokens")).otherwise(0.0)
-    return rows.withColumn("one", F.lit(1)).join(everything, "one").select(
-        "source", "weight", "max_repeats", "own_tokens", "mixed_tokens", share.alias("actual_share"), "unmet"
-    )
+    everything = F.sum("mixed_tokens").over(W.partitionBy(F.lit(1)))  # one row for each listed source
+    share = F.when(everything > 0, F.col("mixed_tokens") / everything).otherwise(0.0)
+    return rows.select("source", "weight", "max_repeats", "own_tokens", "mixed_tokens", share.alias("actual_share"), "unmet")
