@@ -43,8 +43,10 @@ def numbered(rows: DataFrame, order: list[str], name: str = "position", block_ro
     """
     n = rows.count()
     first = order[0]
-    blocks = max(1, -(-n // block_rows))
-    cuts = rows.approxQuantile(first, [i / blocks for i in range(1, blocks)], 0.001) if blocks > 1 else []
+    if n <= block_rows:
+        return rows.withColumn(name, F.row_number().over(W.partitionBy(F.lit(0)).orderBy(*order)) - 1)
+    blocks = -(-n // block_rows)
+    cuts = rows.approxQuantile(first, [i / blocks for i in range(1, blocks)], 0.001)
     block = sum(((F.col(first) > c).cast("int") for c in sorted(set(cuts))), F.lit(0))
     marked = rows.withColumn("_block", block)
     starts = marked.groupBy("_block").agg(F.count(F.lit(1)).alias("n"))

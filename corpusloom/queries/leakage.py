@@ -129,13 +129,12 @@ def mapping_check(spark: SparkSession, folder: str) -> DataFrame:
 def acceptance(spark: SparkSession, folder: str) -> DataFrame:
     """Verdict on every candidate split from its exact overlaps."""
     ref, cand = _sides(spark, folder)
-    out = None
-    for s in CANDIDATES:
-        own = cand.where(F.col("split_name") == s)
-        counts = own.agg(F.countDistinct("source_id").alias("n_ids"), F.count(F.lit(1)).alias("n_rows")).withColumn("split_name", F.lit(s))
-        hit = K.any_shared_ids(ref, own, FIELDS).agg(F.count(F.lit(1)).alias("n_overlapping")).withColumn("split_name", F.lit(s))
-        part = counts.join(hit, "split_name")
-        out = part if out is None else out.unionByName(part)
+    hit = None
+    for f in FIELDS:
+        part = cand.join(ref.select(f).distinct(), f, "left_semi").select("split_name", "source_id")
+        hit = part if hit is None else hit.union(part)
+    hits = hit.distinct().groupBy("split_name").agg(F.count(F.lit(1)).alias("n_overlapping"))
+    out = cand.groupBy("split_name").agg(F.count(F.lit(1)).alias("n_rows")).join(hits, "split_name", "left").fillna(0, ["n_overlapping"])
     percent = percentage(F.col("n_overlapping"), F.col("n_rows"))
     n = F.col("n_overlapping")
     return out.select("split_name", "n_rows", "n_overlapping", tiers.overlap_tier(n, percent).alias("tier"), tiers.overlap_caveat(n, percent).alias("caveat"))
