@@ -22,7 +22,7 @@ Words are ordered by frequency, rare first.  The order need only be the same for
 all, so exact counts are used for words that make up at least 1/16384 of all
 (at most 16384 words, by counting), and the hash orders the rest.
 
-Defined cases: texts without words are in no pair; a similarity of exactly t is
+Defined cases: rows without an id and texts without words are in no pair; a similarity of exactly t is
 no pair; an empty table gives no row.
 """
 
@@ -47,11 +47,13 @@ THRESHOLD = (7, 10)
 #: Documents that a region may hold before it is split, and the most words of a pivot.
 REGION, DEPTH = 64, 3
 FREQUENT = 16384
+#: Words up to which a document travels with its copies; longer ones are looked up.
+LONG = 256
 
 
 def documents(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(record_id, k1, k2) of every record with words, and one row per word set."""
-    rows = df.select("record_id", word_set(F.col("text")).alias("w")).where("size(w) > 0")
+    """(record_id, k1, k2) of every record with id and words, and one row per word set."""
+    rows = df.where("record_id is not null").select("record_id", word_set(F.col("text")).alias("w")).where("size(w) > 0")
     rows = rows.select("record_id", *key128(F.col("w")), "w")
     sets = rows.groupBy("k1", "k2").agg(F.first("w").alias("w"), F.min("record_id").alias("first_id"), F.count(F.lit(1)).alias("n_copies"))
     return rows.select("record_id", "k1", "k2"), cut(sets)
@@ -125,6 +127,27 @@ def _pairs(rows: DataFrame, depth: int, t: tuple[int, int], two_sided: bool, rin
     return a.join(b, match).select(F.col("a.k1").alias("a1"), F.col("a.k2").alias("a2"), F.col("b.k1").alias("b1"), F.col("b.k2").alias("b2"))
 
 
+def _long_pairs(rows: DataFrame, t: tuple[int, int], two_sided: bool) -> DataFrame:
+    """Pairs with a document of more than LONG words: regions of one word, words looked up after."""
+    own = rows.where(F.size("w") * t[1] > LONG * t[0])
+    copies = _windows(own, 1, t).select("region", "k1", "k2", "side", "i", F.size("w").alias("n"))
+    a, b = copies.alias("a"), copies.alias("b")
+    na, nb = F.col("a.n"), F.col("b.n")
+    enough = lambda o: o * (t[0] + t[1]) > (na + nb) * t[0]
+    order = (F.col("a.k1") < F.col("b.k1")) | ((F.col("a.k1") == F.col("b.k1")) & (F.col("a.k2") < F.col("b.k2")))
+    if two_sided:
+        order = (F.col("a.side") == 0) & (F.col("b.side") == 1)
+    match = (F.col("a.region") == F.col("b.region")) & order & (F.greatest(na, nb) > LONG)
+    match &= enough(F.least(na, nb)) & enough(F.least(na - F.col("a.i"), nb - F.col("b.i")))
+    names = [F.col(f"{p}.k{i}").alias(f"{p}{i}") for p in "ab" for i in (1, 2)]
+    pairs = a.join(b, match).select(*names).distinct()
+    words = lambda p, side: own.where(side).select(F.col("k1").alias(f"{p}1"), F.col("k2").alias(f"{p}2"), F.col("w").alias(f"{p}w"))
+    sides = [F.col("side") == s if two_sided else F.lit(True) for s in (0, 1)]
+    held = pairs.join(words("a", sides[0]), ["a1", "a2"]).join(words("b", sides[1]), ["b1", "b2"])
+    common = F.size(F.array_intersect("aw", "bw"))
+    return held.where(common * (t[0] + t[1]) > (F.size("aw") + F.size("bw")) * t[0]).select("a1", "a2", "b1", "b2")
+
+
 def set_pairs(sets: DataFrame, t: tuple[int, int] = THRESHOLD, two_sided: bool = False) -> DataFrame:
     """(a1, a2, b1, b2) of different word sets above the threshold, each pair once.
 
@@ -132,8 +155,9 @@ def set_pairs(sets: DataFrame, t: tuple[int, int] = THRESHOLD, two_sided: bool =
     ``side``), equal ones included; the sets then need three words or more.
     """
     ship(sets.sparkSession)
-    rows = _ordered(sets).withColumns({"i": F.lit(-1), "path": F.array().cast("array<long>")})
-    found = []
+    every = _ordered(sets).withColumns({"i": F.lit(-1), "path": F.array().cast("array<long>")})
+    found = [] if sets.where(F.size("w") > LONG).isEmpty() else [_long_pairs(every, t, two_sided)]
+    rows = every.where(F.size("w") <= LONG)
     for depth in range(1, DEPTH + 1):
         copies = _windows(rows, depth, t)
         held = copies.groupBy("region").agg(F.count(F.lit(1)).alias("n_held")).where("n_held > 1")

@@ -11,7 +11,8 @@ Every partition pairs its own documents and keeps at most one open document per
 source; open ones are paired again in groups of 32 partitions, these in groups
 of 32, and so on, so no step sees more than 32 rows of a source.
 
-Defined cases: null and empty texts count 0 tokens, their fraction is drawn by
+Defined cases: a null weight or max_repeats is 0; documents without an id count
+as tokens but can't be copied; null and empty texts count 0 tokens, their fraction is drawn by
 itself; a source without documents has 0 tokens and can't be met; documents with
 a null or unlisted source take no part; an empty table gives the targets alone.
 """
@@ -40,9 +41,10 @@ def rates(tokens: DataFrame, targets: DataFrame) -> DataFrame:
     rows = targets.join(F.broadcast(targets.select("source")).join(own, "source"), "source", "left")
     rows = rows.withColumn("own_tokens", F.coalesce("own_tokens", F.lit(0)))
     total = rows.groupBy().agg(F.sum("own_tokens").alias("t")).first()["t"] or 0
-    wanted = F.col("weight") * F.lit(float(total))
-    most = F.col("max_repeats") * F.col("own_tokens")
-    rate = F.when(F.col("own_tokens") > 0, F.least(F.col("max_repeats").cast("double"), wanted / F.col("own_tokens"))).otherwise(0.0)
+    wanted = F.coalesce("weight", F.lit(0.0)) * F.lit(float(total))
+    repeats = F.coalesce("max_repeats", F.lit(0))
+    most = repeats * F.col("own_tokens")
+    rate = F.when(F.col("own_tokens") > 0, F.least(repeats.cast("double"), wanted / F.col("own_tokens"))).otherwise(0.0)
     return rows.select("source", "weight", "max_repeats", "own_tokens", wanted.alias("wanted_tokens"), rate.alias("rate"), (most < wanted).alias("unmet"))
 
 
@@ -86,7 +88,7 @@ def copies(tokens: DataFrame, rate: DataFrame, seed: int = 8) -> DataFrame:
     ship(tokens.sparkSession)
     names = STATE.replace(",", "").split()[::2]
     whole = F.floor("rate")
-    start = tokens.join(F.broadcast(rate.select("source", "rate")), "source").select(
+    start = tokens.where("doc_id is not null").join(F.broadcast(rate.select("source", "rate")), "source").select(
         "doc_id", "source", "n_tokens", whole.alias("copies"), (F.col("rate") - whole).alias("p"), F.spark_partition_id().cast("long").alias("part")
     )
     lone = F.col("n_tokens") == 0

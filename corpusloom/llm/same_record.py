@@ -6,7 +6,7 @@ counted by a hash aggregate that combines on the map side.  The check word is
 part of the grouping key, so two forms that collide in 128 bits stay apart and
 ``collisions`` can report them.
 
-Defined cases: null, empty, blank and punctuation-only texts are no record of
+Defined cases: rows without an id and null, empty, blank and punctuation-only texts are no record of
 any group; texts of any length are read whole; an empty table gives no row;
 other columns are never read, so clashing names do no harm; ties for the first
 record go to the smallest id, and a repeated id counts as often as it occurs.
@@ -55,7 +55,7 @@ def squeezed_names(form_fields: DataFrame) -> list[str]:
 def keyed(df: DataFrame, field_names: list[str], text: str = "text", extra: list[str] | None = None) -> DataFrame:
     """record_id, key and ``extra`` columns of every row with a letter or digit."""
     form = canonical(F.col(text), field_names)
-    return df.where(F.col(text).rlike(r"[\p{L}\p{N}]")).select(
+    return df.where(F.col("record_id").isNotNull() & F.col(text).rlike(r"[\p{L}\p{N}]")).select(
         "record_id", *(extra or []), *key128(form, ("k1", "k2")), check_word(form).alias("k3")
     )
 

@@ -14,7 +14,7 @@ lengths and positions only, and every candidate is verified by banded dynamic
 programming.  Texts with equal word sets are one class on each side, so a hot
 text is a single row until the pairs are written out.
 
-Defined cases: texts without words have no similar text; a threshold met exactly
+Defined cases: rows without an id and texts without words are in no pair; a threshold met exactly
 is no pair; null source ids and such of blanks alone match nothing; a pair that
 both text and source id give comes out once; an empty side gives no row.
 """
@@ -39,6 +39,8 @@ T_NUM, T_DEN = 4, 5
 #: Evaluation sequences that share a segment before it counts as hot, at least;
 #: beyond that the 65536th part of all segments, so no more than 65536 are hot.
 HOT_ROWS, HOT_KEYS = 64, 65536
+#: Words up to which a pair is verified by dynamic programming.
+LONG = 512
 
 
 def _edits(l: Column) -> Column:
@@ -79,14 +81,13 @@ def _substrings(w: Column, a: Column) -> Column:
     return F.flatten(F.transform(_lengths(a), of))
 
 
-def _padded(column: pa.Array, fill: int) -> tuple[np.ndarray, np.ndarray]:
-    offsets = column.offsets.to_numpy().astype(np.int64)
-    values = column.values.to_numpy(zero_copy_only=False)
-    sizes = np.diff(offsets)
+def _padded(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray, fill: int) -> np.ndarray:
+    """Sequences as rows of a matrix."""
     out = np.full((len(sizes), int(sizes.max(initial=0))), fill, np.int64)
     rows = np.repeat(np.arange(len(sizes)), sizes)
-    out[rows, np.arange(len(rows)) - np.repeat(offsets[:-1] - offsets[0], sizes)] = values[offsets[0] : offsets[-1]]
-    return out, sizes
+    places = np.arange(len(rows)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    out[rows, places] = values[np.repeat(starts, sizes) + places]
+    return out
 
 
 def banded(a: np.ndarray, la: np.ndarray, b: np.ndarray, lb: np.ndarray, k: np.ndarray) -> np.ndarray:
@@ -124,23 +125,35 @@ def banded(a: np.ndarray, la: np.ndarray, b: np.ndarray, lb: np.ndarray, k: np.n
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs within their distance, in blocks of similar length.
+
+    Beyond LONG words the distance is taken from its closed form for sorted
+    distinct sequences, the size of the symmetric difference.
+    """
     for batch in batches:
         if not batch.num_rows:
             continue
-        (x, lx), (y, ly) = _padded(batch.column("we"), -1), _padded(batch.column("wt"), -2)
+        x, y = batch.column("we"), batch.column("wt")
+        vx, vy = (c.values.to_numpy(zero_copy_only=False) for c in (x, y))
+        sx, sy = (c.offsets.to_numpy()[:-1].astype(np.int64) for c in (x, y))
+        lx, ly = (np.diff(c.offsets.to_numpy()).astype(np.int64) for c in (x, y))
         k = ((T_DEN - T_NUM) * (lx + ly) - 1) // (T_DEN + T_NUM)
+        near = np.abs(lx - ly) <= k
         keep = np.zeros(len(k), bool)
-        block = np.digitize(np.maximum(lx, ly), [8, 12, 16, 24, 32, 48, 64, 96, 128, 256, 512, 1024])
+        block = np.digitize(np.maximum(lx, ly), [8, 12, 16, 24, 32, 48, 64, 96, 128, 256, LONG + 1])
         for g in np.unique(block):
-            r = np.flatnonzero(block == g)
-            keep[r] = banded(x[r], lx[r], y[r], ly[r], k[r])
-        keep &= np.abs(lx - ly) <= k
+            r = np.flatnonzero((block == g) & near)
+            if g < 11:
+                keep[r] = banded(_padded(vx, sx[r], lx[r], -1), lx[r], _padded(vy, sy[r], ly[r], -2), ly[r], k[r])
+            else:
+                common = [len(np.intersect1d(vx[sx[i] : sx[i] + lx[i]], vy[sy[i] : sy[i] + ly[i]], assume_unique=True)) for i in r]
+                keep[r] = lx[r] + ly[r] - 2 * np.array(common, np.int64) <= k[r]
         yield batch.select(["e1", "e2", "t1", "t2"]).filter(pa.array(keep))
 
 
 def classes(df: DataFrame, side: Column) -> DataFrame:
-    """record_id, side (true: training), key and words; rows without words left out."""
-    rows = df.select("record_id", side.alias("train"), word_set(F.col("text")).alias("w"))
+    """record_id, side (true: training), key and words; rows without id or words left out."""
+    rows = df.where("record_id is not null").select("record_id", side.alias("train"), word_set(F.col("text")).alias("w"))
     return rows.where("train is not null and size(w) > 0").select("record_id", "train", *key128(F.col("w")), "w")
 
 
@@ -197,6 +210,6 @@ def similar(df: DataFrame, side: Column) -> DataFrame:
 def same_source(df: DataFrame, side: Column) -> DataFrame:
     """(e, t) record ids with equal source_id, case and outer blanks ignored."""
     name = F.lower(F.regexp_replace("source_id", r"^\p{IsWhite_Space}+|\p{IsWhite_Space}+$", ""))
-    rows = df.select("record_id", side.alias("train"), name.alias("s")).where("train is not null and s <> ''")
+    rows = df.select("record_id", side.alias("train"), name.alias("s")).where("record_id is not null and train is not null and s <> ''")
     e = rows.where("not train").select(F.col("record_id").alias("e"), "s")
     return e.join(rows.where("train").select(F.col("record_id").alias("t"), "s"), "s").select("e", "t")

@@ -15,7 +15,8 @@ are drawn alike), a Farsi yeh that ends a word becomes the dotless one; Persian
 digits drawn like the Arabic ones become these.  Hamza, dots, vowel marks,
 tatweel, case, tabs and line ends stay.
 
-Defined cases: null stays null, the empty text stays empty; texts of any length
+Defined cases: null stays null, the empty text stays empty; a row without an id
+is in no pair; texts of any length
 are read whole; the form of a form is itself.
 """
 
@@ -161,7 +162,7 @@ def alike(df: DataFrame, text: str = "text") -> DataFrame:
     join.  Strings are paired, not records: each pair of strings is then written
     out for the records that hold them, so copies of one string never meet.
     """
-    held = df.where(F.col(text).rlike(r"[\p{L}\p{N}]")).select("record_id", F.col(text).alias("text"))
+    held = df.where(F.col("record_id").isNotNull() & F.col(text).rlike(r"[\p{L}\p{N}]")).select("record_id", F.col(text).alias("text"))
     rows = formed(held).select("record_id", *key128(F.col("form")), F.xxhash64("text").alias("raw"))
     varied = rows.groupBy("k1", "k2").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).where("lo <> hi").select("k1", "k2")
     kept = rows.join(varied, ["k1", "k2"], "left_semi")

@@ -54,3 +54,15 @@ def test_empty_and_bounds(spark, rows):
     assert rows(J.similar(df)) == [(1, 3), (2, 3), (4, 5)]
     assert rows(J.similar(df.where("false"))) == []
     assert rows(J.groups(df.where("false"))) == []
+
+
+def test_long_texts_and_rows_without_id(spark, rows, monkeypatch):
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(700)]
+    data = [(i, " ".join(rng.sample(base, 700 - 12 * i))) for i in range(30)] + [(None, " ".join(base)), (None, "a b c")]
+    want = brute([d for d in data if d[0] is not None])
+    df = spark.createDataFrame(data, "record_id long, text string")
+    assert len(want) > 50 and rows(J.similar(df)) == sorted(want, key=repr)
+    monkeypatch.setattr(J, "LONG", 8)
+    small = make(6)
+    assert rows(J.similar(spark.createDataFrame(small, "record_id long, text string"))) == sorted(brute(small), key=repr)

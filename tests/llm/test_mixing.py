@@ -53,3 +53,11 @@ def test_empty(spark, rows):
     rate = M.rates(tokens.where("false"), targets)
     assert {r.source: r.unmet for r in rate.collect()} == {"a": False, "b": False, "c": False, "none": False}
     assert M.copies(tokens.where("false"), rate).collect() == []
+
+
+def test_nulls(spark):
+    tokens = spark.createDataFrame([(None, "a", 5), (1, "a", 5), (2, "b", 5)], "doc_id long, source string, n_tokens long")
+    targets = spark.createDataFrame([("a", 0.5, 2), ("b", None, None)], "source string, weight double, max_repeats int")
+    rate = M.rates(tokens, targets)
+    assert {r.source: (r.own_tokens, r.rate) for r in rate.collect()} == {"a": (10, 0.75), "b": (5, 0.0)}
+    assert {r.doc_id for r in M.copies(tokens, rate).collect()} == {1, 2}

@@ -38,7 +38,7 @@ def test_cases(spark, rows):
         "mood: y\nplace: x", "place: x mood: y", "place: x | mood: y | other: z", "place: x", "placex", "place: x | mood:", "mood:;place: X.", "x" * 50_000, "X" * 50_000,
     ]
     data = [(i, t, "clash", "clash") for i, t in enumerate(texts)]
-    assert found(spark, data, rows) == expected(data)
+    assert found(spark, [*data, (None, "Hello, World", "", "")], rows) == expected(data)
 
 
 def test_random_variants_and_repeated_rows(spark, rows):

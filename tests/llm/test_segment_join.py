@@ -79,3 +79,13 @@ def test_template_with_many_fillings(spark, rows):
     data += [(900, "dev", f"{template} a1 b1 c1 d1 zz")]
     df = spark.createDataFrame(data, "record_id long, split_name string, text string")
     assert rows(J.similar(df, side())) == [(900, 1)]
+
+
+def test_long_texts_and_rows_without_id(spark, rows):
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(1500)]
+    data = [(i, "train" if i % 2 else "dev", " ".join(rng.sample(base, 1500 - 40 * (i % 12)))) for i in range(24)]
+    data += [(50, "train", "a b"), (51, "dev", "b a"), (None, "train", "a b"), (None, "dev", " ".join(base))]
+    want = brute([d for d in data if d[0] is not None])
+    got = rows(J.similar(spark.createDataFrame(data, "record_id long, split_name string, text string"), side()))
+    assert len(want) > 20 and got == sorted(want, key=repr)
