@@ -45,7 +45,7 @@ from corpusloom.plans.shipping import ship
 #: Similarity above 7/10, as a fraction.
 THRESHOLD = (7, 10)
 #: Documents that a region may hold before it is split, and the most words of a pivot.
-REGION, DEPTH = 64, 3
+REGION, DEPTH = 256, 3
 FREQUENT = 16384
 #: Words up to which a document travels with its copies; longer ones are looked up.
 LONG = 256
