@@ -161,10 +161,16 @@ def set_pairs(sets: DataFrame, t: tuple[int, int] = THRESHOLD, two_sided: bool =
     for depth in range(1, DEPTH + 1):
         copies = _windows(rows, depth, t)
         held = copies.groupBy("region").agg(F.count(F.lit(1)).alias("n_held")).where("n_held > 1")
-        met = cut(copies.join(held, "region"))
-        found.append(_pairs(met.where(F.col("n_held") <= REGION), depth, t, two_sided, rings=False))
-        rows = met.where(F.col("n_held") > REGION)
-    found.append(_pairs(rows, DEPTH, t, two_sided, rings=True))
+        large = cut(held.where(F.col("n_held") > REGION).select("region"))
+        small = copies.join(held.where(F.col("n_held") <= REGION).select("region"), "region")
+        found.append(_pairs(small, depth, t, two_sided, rings=False))
+        if large.isEmpty():
+            break
+        rows = copies.join(large, "region")
+        if depth == DEPTH:
+            found.append(_pairs(rows, DEPTH, t, two_sided, rings=True))
+        else:
+            rows = cut(rows)
     return reduce(DataFrame.unionByName, found)
 
 
