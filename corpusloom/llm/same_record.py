@@ -43,7 +43,7 @@ def canonical(text: Column, field_names: list[str]) -> Column:
     form = (F.size(pieces) >= 2) & F.forall(pieces, known)
     parts = F.array_sort(F.transform(pieces, lambda p: F.concat(name(p), F.lit(":"), value(p))))
     plain = F.concat(F.lit("T"), squeezed(text))
-    return F.when(text.rlike(r"(?s):.*[|;\n]"), F.when(form, F.concat(F.lit("F"), F.array_join(parts, "|"))).otherwise(plain)).otherwise(plain)
+    return F.when(text.contains(":") & text.rlike(CUTS), F.when(form, F.concat(F.lit("F"), F.array_join(parts, "|"))).otherwise(plain)).otherwise(plain)
 
 
 def squeezed_names(form_fields: DataFrame) -> list[str]:
