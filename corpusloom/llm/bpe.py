@@ -38,7 +38,8 @@ TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.tiktoken"
 # Fixed value: the public pattern that cuts text into pieces for this vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-KEPT_PIECES, KEPT_PAIRS = 1 << 17, 1 << 20
+#: What a worker remembers: pieces up to a length, and pairs of tokens.
+KEPT_PIECES, KEPT_LENGTH, KEPT_PAIRS = 1 << 17, 64, 1 << 20
 
 
 class Encoder:
@@ -118,9 +119,11 @@ class Encoder:
         for p in self.cut(text):
             ids = pieces.get(p)
             if ids is None:
-                if len(pieces) >= KEPT_PIECES:
-                    pieces.clear()
-                ids = pieces[p] = self.piece(p.encode("utf-8", "surrogatepass"))
+                ids = self.piece(p.encode("utf-8", "surrogatepass"))
+                if len(p) <= KEPT_LENGTH:
+                    if len(pieces) >= KEPT_PIECES:
+                        pieces.clear()
+                    pieces[p] = ids
             out.extend(ids)
 
     def encode(self, text: str | None) -> list[int]:
