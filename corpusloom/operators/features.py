@@ -6,12 +6,15 @@ from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusloom.functions.labels import LABELS, label_index
 from corpusloom.functions.text import tokens
 
 WORD = r"[\p{L}\p{N}_]+"
+#: Blocks in which the terms of a vocabulary are numbered.
+TERM_BLOCKS = 256
 
 
 def word_ngrams(text: Column, low: int = 1, high: int = 2) -> Column:
@@ -73,7 +76,7 @@ class Vectorizer:
         return {"w:": term_counts(rows, key, word_ngrams(F.col(text))), "c:": term_counts(rows, key, char_ngrams(F.col(text)))}
 
     def fit(self, rows: DataFrame, key: str, text: str) -> Vectorizer:
-        """Learn the terms of ``rows``; positions follow the sorted terms."""
+        """Learn the terms of ``rows``; each gets a position, counted block by block of hashes."""
         self.n_rows = rows.count()
         for prefix, counts in self._counts(rows, key, text).items():
             self.spaces[prefix] = document_frequencies(counts, self.least[prefix]).cache()
@@ -81,8 +84,12 @@ class Vectorizer:
         for prefix, frequencies in self.spaces.items():
             part = frequencies.select(F.concat(F.lit(prefix), "term").alias("term"))
             terms = part if terms is None else terms.union(part)
-        ordered = terms.rdd.map(lambda r: r.term).sortBy(lambda t: t).zipWithIndex()
-        self.index = rows.sparkSession.createDataFrame(ordered, "term string, position long").cache()
+        terms = terms.withColumn("block", F.pmod(F.xxhash64("term"), F.lit(TERM_BLOCKS)))
+        sizes = terms.groupBy("block").agg(F.count(F.lit(1)).alias("n"))
+        before = F.sum("n").over(W.partitionBy(F.lit(0)).orderBy("block").rowsBetween(W.unboundedPreceding, -1))
+        starts = F.broadcast(sizes.select("block", F.coalesce(before, F.lit(0)).alias("start")))
+        place = F.row_number().over(W.partitionBy("block").orderBy("term")) - 1
+        self.index = terms.withColumn("place", place).join(starts, "block").select("term", (F.col("start") + F.col("place")).alias("position")).cache()
         self.size = self.index.count()
         return self
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -140,7 +140,7 @@ def label_inventory(rows: DataFrame) -> DataFrame:
     return rows.groupBy("normalized_raw_label").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("macro_label").isNotNull()).alias("is_mapped"))
 
 
-def audit(checks: dict[str, DataFrame], soft: dict[str, Column] | None = None) -> DataFrame:
+def audit(checks: dict[str, DataFrame]) -> DataFrame:
     """(check, n, status): ``block`` if any hard check counts more than 0."""
     out = None
     for name, found in checks.items():
