@@ -48,7 +48,10 @@ def missing_ids(rows: DataFrame, processed: DataFrame) -> DataFrame:
 
 
 def reference_index(interim: DataFrame, processed: DataFrame) -> DataFrame:
-    """(field, value, source_ids sorted): values of a reference and who holds them."""
+    """(field, value, source_id): who holds each value of a reference, one row for each.
+
+    Kept as rows, not as lists: a value may be held by any share of the ids.
+    """
     pairs = [
         interim.select(F.lit("source_id").alias("field"), F.col("source_id").alias("value"), "source_id"),
         interim.select(F.lit("original_text"), F.col("text"), "source_id"),
@@ -59,7 +62,7 @@ def reference_index(interim: DataFrame, processed: DataFrame) -> DataFrame:
     out = pairs[0]
     for p in pairs[1:]:
         out = out.union(p)
-    return out.distinct().groupBy("field", "value").agg(F.array_sort(F.collect_list("source_id")).alias("source_ids"))
+    return out.distinct()
 
 
 def duplicate_groups(rows: DataFrame, field: str) -> DataFrame:

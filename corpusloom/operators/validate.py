@@ -41,12 +41,15 @@ def class_counts(rows: DataFrame, file: str, classes: list[str]) -> DataFrame:
 
 
 def repeated_rows(rows: DataFrame, file: str, columns: list[str], order: list[str], limit: int = 5) -> DataFrame:
-    """The first ``limit`` rows of each file that repeat an earlier row of it."""
-    fp = row_fingerprint(*[F.col(c) for c in columns])
-    seen = F.row_number().over(W.partitionBy(file, "fp").orderBy(*order)) > 1
-    again = rows.withColumn("fp", fp).withColumn("again", seen).where("again")
-    rank = F.row_number().over(W.partitionBy(file).orderBy(*order))
-    return again.withColumn("rank", rank).where(F.col("rank") <= limit).drop("fp", "again")
+    """The first ``limit`` rows of each file that repeat an earlier row of it.
+
+    The first occurrence comes from an aggregate and is joined back, so a row
+    that recurs without end isn't sorted in one task.
+    """
+    marked = rows.withColumn("fp", row_fingerprint(*[F.col(c) for c in columns])).withColumn("at", F.struct(*order))
+    firsts = marked.groupBy(file, "fp").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    again = marked.join(firsts, [file, "fp"]).where(F.col("at") > F.col("first")).drop("fp", "at", "first", "n")
+    return first_rows(again, [file], order, limit)
 
 
 def first_rows(rows: DataFrame, keys: list[str], order: list[str], limit: int) -> DataFrame:

@@ -61,12 +61,12 @@ def missing_processed(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def reference_index(spark: SparkSession, folder: str) -> DataFrame:
-    """Values of the reference and how many ids hold each."""
+    """Values of the reference and the ids that hold each."""
     ref = _sides(spark, folder)[0]
     interim = table(spark, folder, "interim_dataset").where("split_name = 'train_core'")
     interim = interim.select(F.coalesce("source_id", F.lit("")).alias("source_id"), F.coalesce("text", F.lit("")).alias("text"))
     index = K.reference_index(interim, ref)
-    return index.select("field", F.sha1("value").alias("value_hash"), F.array_join("source_ids", ",").alias("source_ids"))
+    return index.select("field", F.sha1("value").alias("value_hash"), "source_id")
 
 
 def index_sizes(spark: SparkSession, folder: str) -> DataFrame:
@@ -188,7 +188,7 @@ ORACLES = {
       v as (select 'source_id' as field, source_id as value, source_id from i union select 'original_text', text, source_id from i
         union select 'source_id', source_id, source_id from ref union select 'original_text', original_text, source_id from ref
         union select 'processed_text', processed_text, source_id from ref)
-      select field, sha1(value) as value_hash, array_to_string(list_sort(list(source_id)), ',') as source_ids from v group by field, value""",
+      select field, sha1(value) as value_hash, source_id from v""",
     "E31_index_sizes": f"with {LEAKAGE} select " + ", ".join(f"count(distinct {f}) as n_{f}" for f in FIELDS) + " from ref",
     "D8_near_duplicates": f"with {_SIM} select record_id, split_name from cand where record_id in (select cid from sim)",
     "F5_near_pairs": f"with {_SIM} select cid as candidate_id, min(rid) as reference_id, arg_min(similarity, rid) as similarity from sim group by 1",
