@@ -34,7 +34,7 @@ STATISTICS = [
     "punctuated_lines", "listed_share", "line_words", "distinct_share", "tag_share",
 ]
 #: Least standard deviation of each statistic (keeps cells of equal values sane).
-FLOOR = [0.05, 0.15, 0.025, 0.025, 0.10, 0.15, 0.05, 0.25, 0.08, 0.05]
+FLOOR = [0.05, 0.12, 0.04, 0.05, 0.10, 0.15, 0.05, 0.25, 0.08, 0.08]
 #: Squared distance that prose stays within: 98 % of chi-squared with 10 degrees.
 BOUND = 21.16
 #: Common words that the documents of the first round have at least.
@@ -51,7 +51,7 @@ WORD = r"[\p{L}\p{M}\p{N}]+"
 LINE_END = r"\r\n|[\n\r\u0085\x{2028}\x{2029}]"
 MARKED = r"^\p{IsWhite_Space}*(?:(?:[-–—*+•·»>›|]+|::|\p{L}?\p{N}{1,3}[-.):]+|\p{N}+\))\p{IsWhite_Space}|[|»›>]|\p{L}?\p{N}{1,3}-)"
 ENDED = r"[.!?؟…:؛][\"”»)\p{IsWhite_Space}\p{So}]*$"
-SYMBOL = r"[^\p{L}\p{M}\p{N}\p{IsWhite_Space}.,!?؟،؛:;'\"()\x{200c}\x{200d}-]"
+SYMBOL = r"[^\p{L}\p{M}\p{N}\p{IsWhite_Space}.,!?؟،؛:'\"()\x{200c}\x{200d}-]"
 TAG = r"[#@][\p{L}\p{N}_]+|https?://\P{IsWhite_Space}+|(?<![\p{L}\p{N}_])(?:URL|USER|NUM|RT)(?![\p{L}\p{N}_])"
 
 
