@@ -113,9 +113,12 @@ def classifier(c: float, n_rows: int, max_iter: int = 2000) -> Pipeline:
     return Pipeline(stages=[lr])
 
 
-def fit_predict(train: DataFrame, dev: DataFrame, key: str, text: str, target: str, c: float = 4.0, min_df: int = 2, max_iter: int = 2000) -> DataFrame:
-    """(key, true_label, predicted_label) of ``dev`` by a model of ``train``."""
-    vectors = Vectorizer(min_df, min_df).fit(train, key, text)
+def fit_predict(train: DataFrame, dev: DataFrame, key: str, text: str, target: str, c: float = 4.0, min_df: tuple[int, int] = (2, 2), max_iter: int = 2000) -> DataFrame:
+    """(key, true_label, predicted_label) of ``dev`` by a model of ``train``.
+
+    ``min_df`` gives the rows that a word term and a character term need.
+    """
+    vectors = Vectorizer(*min_df).fit(train, key, text)
     labelled = train.select(key, label_index(F.col(target)).cast("double").alias("label"))
     model = classifier(c, vectors.n_rows, max_iter).fit(vectors.transform(train, key, text).join(labelled, key))
     scored = model.transform(vectors.transform(dev, key, text))
