@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import tiers
 from corpusloom.functions.labels import LEVANTINE, macro, normalized
-from corpusloom.functions.text import percentage
+from corpusloom.functions.text import clean, percentage
 from corpusloom.operators import leakage as K
 from corpusloom.operators.selection import clean_split
 from corpusloom.queries.common import CANDIDATES, LABEL_DIM, LEAKAGE, RECORDS, leakage_rows, sql_macro, sql_normalized, sql_tokens, table
@@ -143,9 +143,9 @@ def acceptance(spark: SparkSession, folder: str) -> DataFrame:
 def audit_status(spark: SparkSession, folder: str) -> DataFrame:
     """The three hard checks of training against dev rows, and the verdict."""
     rows = table(spark, folder, "interim_dataset").select("split_name", "source_id", "text")
-    rows = rows.select("split_name", *[F.coalesce(c, F.lit("")).alias(c) for c in ("source_id", "text")])
+    rows = rows.select("split_name", *[F.coalesce(c, F.lit("")).alias(c) for c in ("source_id", "text")]).withColumn("processed_text", clean(F.col("text")))
     train, dev = (rows.where(F.col("split_name") == s) for s in ("train_core", "dev_core"))
-    return K.audit({f: K.shared_values(train, dev, f) for f in ("source_id", "text")})
+    return K.audit({f: K.shared_values(train, dev, f) for f in ("source_id", "text", "processed_text")})
 
 
 def clean_dev(spark: SparkSession, folder: str) -> DataFrame:
