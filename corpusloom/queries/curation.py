@@ -85,8 +85,8 @@ def texts_in_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def file_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    """The hundred file pairs with the most texts in common."""
-    return validate.file_pairs(_found(spark, folder)).orderBy(F.desc("n_shared"), "file_a", "file_b").limit(100)
+    """All file pairs with texts in common, most texts first."""
+    return validate.file_pairs(_found(spark, folder)).orderBy(F.desc("n_shared"), "file_a", "file_b")
 
 
 def cross_conflicts(spark: SparkSession, folder: str) -> DataFrame:

@@ -38,3 +38,11 @@ def test_audit_equals_sql_of_three_checks(spark, rows):
     want = {f: con.execute(sql + count.format(f)).fetchone()[0] for f in ("source_id", "text", "processed_text")}
     status = "block" if any(want.values()) else "pass"
     assert rows(QUERIES["E33_audit_status"](spark, str(DATA))) == sorted((f, n, status) for f, n in want.items())
+
+
+def test_all_file_pairs(spark, write):
+    data = [(f"f{i:02}", "x", "same text") for i in range(20)] + [("f03", "x", "two"), ("f07", "x", "two")]
+    folder = write("interim_dataset", data, "source_file string, raw_label string, text string")
+    got = [tuple(r) for r in QUERIES["D11_G3_H6_file_pairs"](spark, folder).collect()]
+    assert got[0] == ("f03", "f07", 2) and len(got) == 190
+    assert got[1:] == [(f"f{i:02}", f"f{j:02}", 1) for i in range(20) for j in range(i + 1, 20) if (i, j) != (3, 7)]
