@@ -185,10 +185,10 @@ def similar(df: DataFrame, side: Column) -> DataFrame:
     size = F.size("w")
     e = sets.where("not train").select("k1", size.alias("l"), F.explode(_segments(F.col("w"), size)).alias("x"))
     t = sets.where("train").select("k1", size.alias("a"), F.explode(_substrings(F.col("w"), size)).alias("x"))
-    e = e.select(F.col("x.h").alias("h"), F.col("k1").alias("e1"), F.col("l").cast("short"), F.col("x.p").cast("short").alias("pe"))
-    t = t.select(F.col("x.h").alias("h"), F.col("k1").alias("t1"), F.col("a").cast("short"), F.col("x.p").cast("short").alias("pt"))
-    a, l, most = F.col("a").cast("int"), F.col("l").cast("int"), _pair_edits(F.col("a").cast("int"), F.col("l").cast("int"))
-    shift = F.col("pt").cast("int") - F.col("pe").cast("int")
+    e = e.select(F.col("x.h").alias("h"), F.col("k1").alias("e1"), "l", F.col("x.p").alias("pe"))
+    t = t.select(F.col("x.h").alias("h"), F.col("k1").alias("t1"), "a", F.col("x.p").alias("pt"))
+    a, l, most = F.col("a"), F.col("l"), _pair_edits(F.col("a"), F.col("l"))
+    shift = F.col("pt") - F.col("pe")
     near = (F.abs(a - l) <= most) & (shift * 2 >= -(most - a + l)) & (shift * 2 <= most + a - l)
     hot = hot_segments(e)
     found = None

@@ -5,7 +5,9 @@ from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from corpusloom.llm import segment_join
 from corpusloom.queries import QUERIES
 from corpusloom.queries.text import STEPS, chained
 
@@ -46,3 +48,11 @@ def test_all_file_pairs(spark, write):
     got = [tuple(r) for r in QUERIES["D11_G3_H6_file_pairs"](spark, folder).collect()]
     assert got[0] == ("f03", "f07", 2) and len(got) == 190
     assert got[1:] == [(f"f{i:02}", f"f{j:02}", 1) for i in range(20) for j in range(i + 1, 20) if (i, j) != (3, 7)]
+
+
+def test_overlap_of_texts_beyond_16_bits(spark, rows):
+    words = [f"w{i}" for i in range(33000)]
+    data = [(1, "train", " ".join(words)), (2, "dev", " ".join(words[200:])), (3, "dev", " ".join(words[9000:])), (4, "dev", "a b")]
+    df = spark.createDataFrame(data, "record_id long, split_name string, text string")
+    side = F.when(F.col("split_name") == "train", True).otherwise(False)
+    assert rows(segment_join.similar(df, side)) == [(2, 1)]
