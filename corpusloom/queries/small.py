@@ -10,10 +10,12 @@ from corpusloom.functions import tiers
 from corpusloom.operators import encoder, validate
 from corpusloom.queries import evaluation
 from corpusloom.queries.common import PREDICTIONS, leakage_rows, sql_strip, sql_tokens, table
+from corpusloom.sources.config import EncoderConfig
 from corpusloom.sources.registry import group_by_ending
 
 ENDINGS = {"first": ["0001.tsv", "0002.tsv"], "second": ["2.tsv", "3.tsv"], "third": ["pool/batch_0004.tsv"]}
 BATCH, ACCUMULATED, WARMUP = 32, 4, 0.1
+#: Tokens in the SQL of L6_tokenised; the query itself takes the configuration's max_length.
 MAX_TOKENS = 8
 
 
@@ -58,9 +60,9 @@ def word_lengths(text: str) -> list[int]:
 
 
 def tokenised(spark: SparkSession, folder: str) -> DataFrame:
-    """Model inputs of every row by the stand-in tokenizer."""
+    """Model inputs of every row by the stand-in tokenizer, cut to the encoder's max_length."""
     rows = leakage_rows(spark, folder).select("record_id", X.squeeze_ws(F.col("processed_text")).alias("t"), "macro_label")
-    out = encoder.tokenised(rows, "record_id", "t", "macro_label", word_lengths, MAX_TOKENS)
+    out = encoder.tokenised(rows, "record_id", "t", "macro_label", word_lengths, EncoderConfig().max_length)
     as_text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c)
     return out.select("record_id", as_text("input_ids"), as_text("attention_mask"), "labels")
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm import segment_join
 from corpusloom.queries import QUERIES
+from corpusloom.queries.common import sql_tokens
 from corpusloom.queries.text import STEPS, chained
 
 DATA = Path(os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001"))
@@ -56,3 +57,18 @@ def test_overlap_of_texts_beyond_16_bits(spark, rows):
     df = spark.createDataFrame(data, "record_id long, split_name string, text string")
     side = F.when(F.col("split_name") == "train", True).otherwise(False)
     assert rows(segment_join.similar(df, side)) == [(2, 1)]
+
+
+def test_model_inputs_keep_max_length_tokens(spark, rows, write):
+    data = [(n, " ".join(["ab"] * n), "Saudi", "i", "t") for n in (0, 8, 9, 128, 129)]
+    folder = write("ood_leakage_precheck", data, "record_id long, processed_text string, macro_label string, source_id string, original_text string")
+    got = rows(QUERIES["L6_tokenised"](spark, folder))
+    assert got == sorted([(n, ",".join(["2"] * k), ",".join(["1"] * k), 0) for n, k in ((0, 0), (8, 8), (9, 9), (128, 128), (129, 128))], key=repr)
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="no test tables")
+def test_model_inputs_equal_whole_sql(spark, rows):
+    tokens = sql_tokens("coalesce(processed_text, '')")
+    sql = f"select record_id, array_to_string([length(x) for x in ({tokens})[1:128]], ',') from '{DATA}/ood_leakage_precheck.parquet'"
+    got = [r[:2] for r in rows(QUERIES["L6_tokenised"](spark, str(DATA)))]
+    assert sorted(got, key=repr) == sorted(duckdb.connect().execute(sql).fetchall(), key=repr)
