@@ -169,6 +169,35 @@ def deltas(left: DataFrame, right: DataFrame, keys: list[str], values: list[str]
     return left.join(r, keys).select(*keys, *out)
 
 
+def robustness(scored: DataFrame, excluded: DataFrame) -> DataFrame:
+    """Accuracy and macro F1 that every model loses under every perturbation family.
+
+    ``scored`` holds the predictions of the same records clean (family 'clean')
+    and once per family, ``excluded`` a flag per family.  The larger drop has no
+    model on a tie; trend says what becomes of a model's lead over the mean of
+    the others; n_wins counts the families kept in which the macro F1 of a model
+    alone drops least.  With one model there is nothing to compare: null, and 0 wins.
+    """
+    keys, values = ["family", "model_name"], ["accuracy", "macro_f1"]
+    measured = accuracy(scored, keys).join(averages(per_class(scored, keys), keys), keys).select(*keys, "n_rows", *values)
+    clean = measured.where("family = 'clean'").select("model_name", *[F.col(v).alias(f"clean_{v}") for v in values])
+    rows = measured.where("family <> 'clean'").join(clean, "model_name").join(excluded, "family")
+    for v in values:
+        rows = rows.withColumn(f"{v}_drop", F.col(f"clean_{v}") - F.col(v)).withColumn(f"{v}_drop_percent", ratio(F.col(f"{v}_drop") * 100, F.col(f"clean_{v}")))
+    every = W.partitionBy("family")
+    n = F.count(F.lit(1)).over(every)
+    for c, best, flag in (("macro_f1_drop", F.max, "_most"), ("macro_f1_drop_percent", F.max, "_most_percent"), ("macro_f1_drop", F.min, "_least")):
+        rows = rows.withColumn(flag, F.col(c) == best(c).over(every))
+    only = lambda flag: (n > 1) & (F.sum(F.col(flag).cast("int")).over(every) == 1)
+    named = lambda flag: F.when(only(flag), F.max(F.when(F.col(flag), F.col("model_name"))).over(every))
+    gap = F.col("macro_f1_drop") * n - F.sum("macro_f1_drop").over(every)
+    trend = F.when(n > 1, F.when(gap > 1e-12, "shrinks").when(gap < -1e-12, "grows").otherwise("stays"))
+    rows = rows.withColumn("larger_drop", named("_most")).withColumn("larger_drop_percent", named("_most_percent")).withColumn("trend", trend)
+    rows = rows.withColumn("won", F.col("_least") & only("_least") & ~F.col("excluded"))
+    rows = rows.withColumn("n_wins", F.sum(F.col("won").cast("long")).over(W.partitionBy("model_name")))
+    return rows.drop("_most", "_most_percent", "_least", "won")
+
+
 def label_positions(predictions: DataFrame) -> DataFrame:
     """Predictions with the positions of both labels (null for other labels)."""
     dim = label_dimension(predictions.sparkSession)

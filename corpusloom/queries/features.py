@@ -9,6 +9,7 @@ from corpusloom.functions.labels import LABELS
 from corpusloom.operators import features as X
 from corpusloom.operators import metrics as M
 from corpusloom.operators import perturb
+from corpusloom.plans.lineage import cut
 from corpusloom.queries.common import PREDICTIONS, leakage_rows, sql_tokens, table
 from corpusloom.queries.evaluation import KEY, _rounded, predictions
 
@@ -60,16 +61,35 @@ def ood_delta(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def robustness_delta(spark: SparkSession, folder: str) -> DataFrame:
-    """Accuracy lost on records of odd id against those of even id, by model."""
+    """Accuracy on records of odd id against those of even id, by model; `robustness` compares perturbed texts."""
     rows = predictions(spark, folder)
     part = lambda odd: M.accuracy(rows.where(F.col("record_id") % 2 == odd), KEY).select("model_name", "accuracy")
     return _rounded(M.deltas(part(1), part(0), KEY, ["accuracy"]))
 
 
+def robustness(spark: SparkSession, folder: str) -> DataFrame:
+    """What the TF-IDF classifier loses on each perturbation family of all labelled candidates.
+
+    A family is excluded if most of its texts are changed too much.
+    """
+    rows = _rows(spark, folder).where(F.col("macro_label").isin(LABELS))
+    train = rows.where("split_name = 'train_core'").withColumn("record_id", F.col("record_id").cast("string"))
+    text, key = F.col("processed_text"), F.col("record_id")
+    texts = {"clean": text} | {name: rule(text, key) for name, rule in perturb.FAMILIES.items()}
+    versions = F.explode(F.array(*[F.struct(F.lit(name).alias("family"), t.alias("t")) for name, t in texts.items()]))
+    dev = rows.where("split_name <> 'train_core'").select("record_id", "macro_label", text.alias("clean"), versions.alias("v"))
+    dev = dev.select(F.concat_ws(":", "v.family", "record_id").alias("record_id"), "macro_label", "clean", "v.family", F.col("v.t").alias("processed_text"))
+    scored = X.fit_predict(train, dev, "record_id", "processed_text", "macro_label", max_iter=100)
+    scored = scored.withColumn("family", F.substring_index("record_id", ":", 1)).withColumn("model_name", F.lit("classical_tfidf"))
+    much = perturb.too_aggressive(F.col("clean"), text).cast("int")
+    excluded = dev.where("family <> 'clean'").groupBy("family").agg((F.avg(much) > 0.5).alias("excluded"))
+    return _rounded(M.robustness(cut(scored), cut(excluded)))
+
+
 QUERIES = {
     "L1_E30_word_terms": _frequencies(X.word_ngrams), "L2_char_terms": _frequencies(X.char_ngrams),
     "L1_word_tfidf": _weights(X.word_ngrams), "L2_char_tfidf": _weights(X.char_ngrams), "L3_L4_L5_classifier": classifier,
-    "N1_ood_delta": ood_delta, "N6_robustness_delta": robustness_delta,
+    "N1_ood_delta": ood_delta, "N6_robustness_delta": robustness_delta, "N6_robustness": robustness,
     "N2_typo_noise": _perturbed("typo_noise"), "N3_elongation": _perturbed("elongation"),
     "N4_placeholder_noise": _perturbed("placeholder_noise"), "N5_punctuation_spacing": _perturbed("punctuation_spacing"),
 }

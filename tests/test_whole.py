@@ -7,7 +7,10 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from corpusloom.functions.labels import LABELS
 from corpusloom.llm import segment_join
+from corpusloom.operators import metrics
+from corpusloom.operators.perturb import FAMILIES
 from corpusloom.queries import QUERIES
 from corpusloom.queries.common import sql_tokens
 from corpusloom.queries.text import STEPS, chained
@@ -72,3 +75,25 @@ def test_model_inputs_equal_whole_sql(spark, rows):
     sql = f"select record_id, array_to_string([length(x) for x in ({tokens})[1:128]], ',') from '{DATA}/ood_leakage_precheck.parquet'"
     got = [r[:2] for r in rows(QUERIES["L6_tokenised"](spark, str(DATA)))]
     assert sorted(got, key=repr) == sorted(duckdb.connect().execute(sql).fetchall(), key=repr)
+
+
+def test_robustness_over_the_same_records(spark):
+    labels = ["Saudi", "Egyptian", "Levantine", "Maghrebi"]
+    wrong = {("clean", "a"): 0, ("clean", "b"): 2, ("x", "a"): 4, ("x", "b"): 3, ("y", "a"): 0, ("y", "b"): 3, ("z", "a"): 4, ("z", "b"): 2}
+    data = [(f, m, labels[i], labels[(i + (i < n)) % 4]) for (f, m), n in wrong.items() for i in range(4)]
+    scored = spark.createDataFrame(data, "family string, model_name string, true_label string, predicted_label string")
+    excluded = spark.createDataFrame([("x", False), ("y", False), ("z", True)], "family string, excluded boolean")
+    got = {(r.family, r.model_name): r for r in metrics.robustness(scored, excluded).collect()}
+    assert len(got) == 6 and {k: r.n_rows for k, r in got.items()} == dict.fromkeys(got, 4)
+    assert {k: r.accuracy_drop for k, r in got.items()} == {(f, m): (n - wrong["clean", m]) / 4 for (f, m), n in wrong.items() if f != "clean"}
+    assert got["x", "a"].macro_f1_drop == got["x", "a"].macro_f1_drop_percent / 100 == 1.0
+    assert {r.larger_drop for (f, _), r in got.items() if f == "x"} == {"a"}
+    assert (got["x", "a"].trend, got["x", "b"].trend) == ("shrinks", "grows")
+    assert {m: r.n_wins for (_, m), r in got.items()} == {"a": 1, "b": 1}  # b loses less on x, a on y; z is excluded
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="no test tables")
+def test_robustness_scores_every_family_on_all_candidates(spark):
+    got = QUERIES["N6_robustness"](spark, str(DATA)).collect()
+    n = spark.read.parquet(f"{DATA}/ood_leakage_precheck.parquet").where(F.col("macro_label").isin(*LABELS) & (F.col("split_name") != "train_core")).count()
+    assert {(r.family, r.n_rows) for r in got} == {(f, n) for f in FAMILIES} and len({r.clean_accuracy for r in got}) == 1
