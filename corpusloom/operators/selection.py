@@ -39,7 +39,8 @@ def numbered(rows: DataFrame, order: list[str], name: str = "position", block_ro
     """``rows`` with their position from 0 in the total order of ``order``.
 
     Rows are counted in range blocks (quantiles of the first column, which must be
-    a number), so no step orders more than a block in one task.
+    a number), so no step orders more than a block in one task; rows without that
+    number are a block of their own, the first.
     """
     n = rows.count()
     first = order[0]
@@ -48,7 +49,7 @@ def numbered(rows: DataFrame, order: list[str], name: str = "position", block_ro
     blocks = -(-n // block_rows)
     cuts = rows.approxQuantile(first, [i / blocks for i in range(1, blocks)], 0.001)
     block = sum(((F.col(first) > c).cast("int") for c in sorted(set(cuts))), F.lit(0))
-    marked = rows.withColumn("_block", block)
+    marked = rows.withColumn("_block", F.when(F.col(first).isNull(), -1).otherwise(block))
     starts = marked.groupBy("_block").agg(F.count(F.lit(1)).alias("n"))
     before = F.coalesce(F.sum("n").over(W.partitionBy(F.lit(1)).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     starts = F.broadcast(starts.select("_block", before.alias("_start")))

@@ -11,6 +11,7 @@ from corpusloom.functions.labels import LABELS
 from corpusloom.llm import segment_join
 from corpusloom.operators import metrics
 from corpusloom.operators.perturb import FAMILIES
+from corpusloom.operators.selection import numbered
 from corpusloom.queries import QUERIES
 from corpusloom.queries.common import sql_tokens
 from corpusloom.queries.text import STEPS, chained
@@ -97,3 +98,9 @@ def test_robustness_scores_every_family_on_all_candidates(spark):
     got = QUERIES["N6_robustness"](spark, str(DATA)).collect()
     n = spark.read.parquet(f"{DATA}/ood_leakage_precheck.parquet").where(F.col("macro_label").isin(*LABELS) & (F.col("split_name") != "train_core")).count()
     assert {(r.family, r.n_rows) for r in got} == {(f, n) for f in FAMILIES} and len({r.clean_accuracy for r in got}) == 1
+
+
+def test_numbered_keeps_rows_without_order_key(spark, rows):
+    df = spark.createDataFrame([(None if i % 4 == 0 else i, i) for i in range(40)], "k long, i long")
+    whole, blocks = (rows(numbered(df, ["k", "i"], block_rows=b)) for b in (100, 7))
+    assert len(whole) == 40 and blocks == whole
