@@ -1,29 +1,30 @@
-"""Problem 4: near-duplicate records, by a metric-space join on Jaccard distance.
-
-Documents are their word sets; equal sets are one document until the end.  The
-pivots are small word sets, which are points of the same space.  A document lies
-in the Voronoi region of the rarest of its words, and is copied to the regions
-of further words as far as the triangle inequality lets a partner's region be
-one of them: with distances to the empty set (sizes) and the largest symmetric
-difference that the radius allows, a document of n words can lose at most
-n - floor(t * n) - 1 of its words to a partner, so the first word that both have
-is among its first n - floor(t * n).  That is its window of regions; beyond it
-no copy is needed, so the join is exact.
-
-Regions of more than REGION documents are joined recursively: their pivot takes
-one more word (the next one that a pair shares), again with the window that the
-radius allows.  Regions that are still large at the last depth are cut into
-rings: a document is copied to the partner sizes that its distances to the pivot
-and to the empty set allow, and only complementary copies meet.  What meets is
-verified by the exact distance.  A pair is written in one region only, that of the first
-words both have, so nothing has to be made distinct.
-
-Words are ordered by frequency, rare first.  The order need only be the same for
-all, so exact counts are used for words that make up at least 1/16384 of all
-(at most 16384 words, by counting), and the hash orders the rest.
+"""Problem 4: near-duplicate records, by an exact prefix-filter join of word sets.
+
+The method named for the problem, Voronoi regions of document pivots under the
+Jaccard distance, is in ``voronoi_join``; its windows cover nearly all regions on
+short posts (figures in the README), so this join is used instead.
+
+Documents are their word sets; equal sets are one document until the end.  Words
+are put in one order for all, rare ones first.  Two documents above the threshold
+t share a word among the first n - floor(t * n) of each, so a document is copied to
+the regions of just these words.  A copy carries no words, but the size, the
+word's position and a signature of 128 parity bits: the bits in which two
+signatures differ are at most the words in which the sets differ, so sizes,
+positions and signatures decide within the join which pairs are left.  Only these
+are made distinct, get their words and are verified.
+
+Regions of more than REGION documents are joined recursively: a pair above the
+threshold shares further words among the first ones, so the region's key takes the
+next common word, up to DEPTH words; regions that are large even then are cut into
+rings of the partner sizes that position and size allow.  Copies of
+documents of more than LONG words don't recurse (their further words would be too
+many); in large regions they meet the others directly.
+
+Words are ordered by exact counts where they make up at least 1/16384 of all
+(at most 16384 words, by counting), and by hash otherwise.
 
 Defined cases: rows without an id and texts without words are in no pair; a similarity of exactly t is
-no pair; an empty table gives no row.
+no pair; texts of any length are compared whole; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -44,10 +45,10 @@ from corpusloom.plans.shipping import ship
 
 #: Similarity above 7/10, as a fraction.
 THRESHOLD = (7, 10)
-#: Documents that a region may hold before it is split, and the most words of a pivot.
-REGION, DEPTH = 256, 3
+#: Documents that a region may hold before it is split, and the most words of its key.
+REGION, DEPTH = 4096, 3
 FREQUENT = 16384
-#: Words up to which a document travels with its copies; longer ones are looked up.
+#: Words up to which a document's copies recurse.
 LONG = 256
 
 
@@ -84,94 +85,82 @@ def _ordered(sets: DataFrame) -> DataFrame:
                 count = np.where(words[at] == values, weight[at], 0)
             sorted_ = values[np.lexsort((values, count, rows))]
             w = pa.ListArray.from_arrays(pa.array((offsets - offsets[0]).astype(np.int32)), pa.array(sorted_))
-            yield pa.RecordBatch.from_arrays([batch.column("k1"), batch.column("k2"), batch.column("side"), w], ["k1", "k2", "side", "w"])
+            bits = np.left_shift(np.uint64(1), (sorted_ & 63).astype(np.uint64))
+            half = (sorted_ & 64) > 0
+            parity = [np.bitwise_xor.reduceat(np.where(half == h, bits, np.uint64(0)), offsets[:-1] - offsets[0]) if len(rows) else bits for h in (False, True)]
+            columns = [batch.column("k1"), batch.column("k2"), batch.column("side"), w, *[pa.array(x.view(np.int64)) for x in parity]]
+            yield pa.RecordBatch.from_arrays(columns, ["k1", "k2", "side", "w", "s1", "s2"])
 
-    return sets.where("size(w) >= 3").select("k1", "k2", "side", "w").mapInArrow(run, "k1 long, k2 long, side int, w array<long>")
+    return sets.where("size(w) >= 3").select("k1", "k2", "side", "w").mapInArrow(run, "k1 long, k2 long, side int, w array<long>, s1 long, s2 long")
+
+
+COPY = ["region", "k1", "k2", "side", "n", "i", "s1", "s2"]
 
 
 def _windows(rows: DataFrame, depth: int, t: tuple[int, int]) -> DataFrame:
-    """Copies of ``rows`` (k1, k2, side, w, i, path) in the regions of pivots with ``depth`` words."""
+    """Copies of ``rows`` (region, k1, k2, side, w, i, ...) in the regions with one word more."""
     n = F.size("w")
     least_common = F.floor(n * t[0] / t[1]).cast("int") + 1
-    grown = rows.select("k1", "k2", "side", "w", "path", F.explode(F.sequence(F.col("i") + 1, n - least_common + depth - 1)).alias("i"))
-    longer = F.concat("path", F.array(F.element_at("w", F.col("i") + 1)))
-    return grown.select("k1", "k2", "side", "w", "i", longer.alias("path")).withColumn("region", F.xxhash64("path"))
+    grown = rows.select("region", "k1", "k2", "side", "w", "s1", "s2", n.alias("n"), F.explode(F.sequence(F.col("i") + 1, n - least_common + depth - 1)).alias("i"))
+    return grown.withColumn("region", F.xxhash64("region", F.element_at("w", F.col("i") + 1)))
 
 
-def _pairs(rows: DataFrame, depth: int, t: tuple[int, int], two_sided: bool, rings: bool) -> DataFrame:
-    """Pairs above the threshold whose first ``depth`` common words are the region's.
-
-    With ``rings`` documents meet only others of a size that their place in the
-    region allows: after the pivot's last word too few words may be left to reach
-    the threshold with a larger partner.  This keeps large regions of documents
-    that share a pivot but little else from being compared with each other.
-    """
-    if rings:
-        n, left = F.size("w"), F.size("w") - F.col("i") + depth - 1
-        low = F.floor(n * t[0] / t[1]).cast("int") + 1
-        high = F.floor((left * (t[0] + t[1]) - 1) / t[0]).cast("int") - n
-        rows = rows.where(high >= low).withColumn("n", n).withColumn("m", F.explode(F.sequence(low, F.greatest(low, high))))
-    a, b = rows.alias("a"), rows.alias("b")
-    na, nb = F.size("a.w"), F.size("b.w")
+def _candidates(a: DataFrame, b: DataFrame, depth: int, t: tuple[int, int], two_sided: bool, also: Column | None = None) -> DataFrame:
+    """Pairs of copies of one region that sizes, positions and signatures leave."""
+    a, b = a.alias("a"), b.alias("b")
+    na, nb = F.col("a.n"), F.col("b.n")
     order = (F.col("a.k1") < F.col("b.k1")) | ((F.col("a.k1") == F.col("b.k1")) & (F.col("a.k2") < F.col("b.k2")))
     if two_sided:
         order = (F.col("a.side") == 0) & (F.col("b.side") == 1)
     enough = lambda o: o * (t[0] + t[1]) > (na + nb) * t[0]
     ahead = F.least(na - F.col("a.i"), nb - F.col("b.i")) + (depth - 1)
-    common = F.array_intersect("a.w", "b.w")
-    match: Column = F.col("a.region") == F.col("b.region")
-    if rings:
-        match &= (F.col("a.n") == F.col("b.m")) & (F.col("a.m") == F.col("b.n"))
-    match &= order & enough(F.least(na, nb)) & enough(ahead)
-    match &= enough(F.size(common)) & (F.slice(common, 1, depth) == F.col("a.path"))
-    return a.join(b, match).select(F.col("a.k1").alias("a1"), F.col("a.k2").alias("a2"), F.col("b.k1").alias("b1"), F.col("b.k2").alias("b2"))
-
-
-def _long_pairs(rows: DataFrame, t: tuple[int, int], two_sided: bool) -> DataFrame:
-    """Pairs with a document of more than LONG words: regions of one word, words looked up after."""
-    own = rows.where(F.size("w") * t[1] > LONG * t[0])
-    copies = _windows(own, 1, t).select("region", "k1", "k2", "side", "i", F.size("w").alias("n"))
-    a, b = copies.alias("a"), copies.alias("b")
-    na, nb = F.col("a.n"), F.col("b.n")
-    enough = lambda o: o * (t[0] + t[1]) > (na + nb) * t[0]
-    order = (F.col("a.k1") < F.col("b.k1")) | ((F.col("a.k1") == F.col("b.k1")) & (F.col("a.k2") < F.col("b.k2")))
-    if two_sided:
-        order = (F.col("a.side") == 0) & (F.col("b.side") == 1)
-    match = (F.col("a.region") == F.col("b.region")) & order & (F.greatest(na, nb) > LONG)
-    match &= enough(F.least(na, nb)) & enough(F.least(na - F.col("a.i"), nb - F.col("b.i")))
-    names = [F.col(f"{p}.k{i}").alias(f"{p}{i}") for p in "ab" for i in (1, 2)]
-    pairs = a.join(b, match).select(*names).distinct()
-    words = lambda p, side: own.where(side).select(F.col("k1").alias(f"{p}1"), F.col("k2").alias(f"{p}2"), F.col("w").alias(f"{p}w"))
-    sides = [F.col("side") == s if two_sided else F.lit(True) for s in (0, 1)]
-    held = pairs.join(words("a", sides[0]), ["a1", "a2"]).join(words("b", sides[1]), ["b1", "b2"])
-    common = F.size(F.array_intersect("aw", "bw"))
-    return held.where(common * (t[0] + t[1]) > (F.size("aw") + F.size("bw")) * t[0]).select("a1", "a2", "b1", "b2")
+    apart = sum((F.bit_count(F.col(f"a.{s}").bitwiseXOR(F.col(f"b.{s}"))) for s in ("s1", "s2")), F.lit(0))
+    match = (F.col("a.region") == F.col("b.region")) & order & enough(F.least(na, nb)) & enough(ahead)
+    match &= apart * (t[0] + t[1]) < (na + nb) * (t[1] - t[0])
+    if also is not None:
+        match &= also
+    return a.join(b, match).select(*[F.col(f"{p}.k{i}").alias(f"{p}{i}") for p in "ab" for i in (1, 2)])
 
 
-def set_pairs(sets: DataFrame, t: tuple[int, int] = THRESHOLD, two_sided: bool = False) -> DataFrame:
-    """(a1, a2, b1, b2) of different word sets above the threshold, each pair once.
+def _ringed(rows: DataFrame, depth: int, t: tuple[int, int]) -> DataFrame:
+    """Copies of ``rows`` for each partner size ``m`` that their place in the region allows."""
+    left = F.col("n") - F.col("i") + depth - 1
+    low = F.floor(F.col("n") * t[0] / t[1]).cast("int") + 1
+    high = F.floor((left * (t[0] + t[1]) - 1) / t[0]).cast("int") - F.col("n")
+    return rows.where(high >= low).withColumn("m", F.explode(F.sequence(low, F.greatest(low, high))))
 
-    With ``two_sided`` only pairs of a set of side 0 and one of side 1 (int column
-    ``side``), equal ones included; the sets then need three words or more.
-    """
+
+def set_pairs(sets: DataFrame, t: tuple[int, int] = THRESHOLD) -> DataFrame:
+    """(a1, a2, b1, b2) of different word sets above the threshold, each pair once."""
     ship(sets.sparkSession)
-    every = _ordered(sets).withColumns({"i": F.lit(-1), "path": F.array().cast("array<long>")})
-    found = [] if sets.where(F.size("w") > LONG).isEmpty() else [_long_pairs(every, t, two_sided)]
-    rows = every.where(F.size("w") <= LONG)
+    two_sided = "side" in sets.columns
+    every = _ordered(sets)
+    rows = every.withColumns({"i": F.lit(-1), "region": F.lit(0).cast("long")})
+    found: list[DataFrame] = []
     for depth in range(1, DEPTH + 1):
-        copies = _windows(rows, depth, t)
+        whole = _windows(rows, depth, t)
+        copies = whole.select(*COPY)
         held = copies.groupBy("region").agg(F.count(F.lit(1)).alias("n_held")).where("n_held > 1")
         large = cut(held.where(F.col("n_held") > REGION).select("region"))
         small = copies.join(held.where(F.col("n_held") <= REGION).select("region"), "region")
-        found.append(_pairs(small, depth, t, two_sided, rings=False))
+        found.append(_candidates(small, small, depth, t, two_sided))
         if large.isEmpty():
             break
-        rows = copies.join(large, "region")
-        if depth == DEPTH:
-            found.append(_pairs(rows, DEPTH, t, two_sided, rings=True))
-        else:
-            rows = cut(rows)
-    return reduce(DataFrame.unionByName, found)
+        if depth == 1:
+            hot = copies.join(large, "region")
+            longer = F.greatest("a.n", "b.n") > LONG
+            if not hot.where(F.col("n") > LONG).isEmpty():
+                found.append(_candidates(hot.where(F.col("n") > LONG * t[0] / t[1]), hot.where(F.col("n") > LONG * t[0] / t[1]), depth, t, two_sided, longer))
+        rows = cut(whole.where(F.col("n") <= LONG).join(large, "region"))
+    else:
+        ringed = _ringed(rows.select(*COPY), DEPTH, t)
+        found.append(_candidates(ringed, ringed, DEPTH, t, two_sided, (F.col("a.n") == F.col("b.m")) & (F.col("a.m") == F.col("b.n"))))
+    pairs = reduce(DataFrame.unionByName, found).distinct()
+    side = lambda s: F.col("side") == s if two_sided else F.lit(True)
+    words = lambda p, s: sets.where(side(s)).select(F.col("k1").alias(f"{p}1"), F.col("k2").alias(f"{p}2"), F.col("w").alias(f"{p}w"))
+    known = pairs.join(words("a", 0), ["a1", "a2"]).join(words("b", 1), ["b1", "b2"])
+    common = F.size(F.array_intersect("aw", "bw"))
+    return known.where(common * (t[0] + t[1]) > (F.size("aw") + F.size("bw")) * t[0]).select("a1", "a2", "b1", "b2")
 
 
 def similar(df: DataFrame) -> DataFrame:

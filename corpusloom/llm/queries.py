@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import bpe, metric_join, mixing, prose, quota_sample, same_record, segment_join, survivor, visual_form
@@ -33,29 +33,30 @@ def p1_records(spark: SparkSession, folder: str) -> DataFrame:
     return same_record.union(out)
 
 
-def _overlaps(spark: SparkSession, folder: str) -> list[DataFrame]:
-    (_, interim), (_, leakage) = two_tables(spark, folder, "processed_text")
+def _splits(spark: SparkSession, folder: str) -> list[tuple[str, DataFrame, Column, bool]]:
+    """Table name, rows, side (true: training, false: evaluation) and whether source ids count."""
+    (a, interim), (b, leakage) = two_tables(spark, folder, "processed_text")
     split = F.col("split_name")
-    side = F.when(split == "train_core", True).when(split == "dev_core", False)
-    interim_pairs = segment_join.similar(interim, side)
-    side = F.when(split == "train_core", True).when(split.isin("ood_2020_dev", "ood_2021_dev"), False)
-    by_text, by_source = segment_join.similar(leakage, side), segment_join.same_source(leakage, side)
-    return [interim_pairs, by_text.union(by_source).distinct()]
+    trained = F.when(split == "train_core", True)
+    return [(a, interim, trained.when(split == "dev_core", False), False), (b, leakage, trained.when(split.isin("ood_2020_dev", "ood_2021_dev"), False), True)]
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     """Training and evaluation records that are the same or almost."""
-    pairs = same_record.union(_overlaps(spark, folder))
+    found = []
+    for _, df, side, by_source in _splits(spark, folder):
+        pairs = segment_join.similar(df, side)
+        found.append(pairs.union(segment_join.same_source(df, side)).distinct() if by_source else pairs)
+    pairs = same_record.union(found)
     return pairs.select(F.least("e", "t").alias("id_a"), F.greatest("e", "t").alias("id_b"))
 
 
 def p2_overlaps(spark: SparkSession, folder: str) -> DataFrame:
     """Overlaps by table, evaluation split and source: pairs and evaluation records."""
     out = []
-    for (name, df), pairs in zip(two_tables(spark, folder, "processed_text"), _overlaps(spark, folder), strict=True):
+    for name, df, side, by_source in _splits(spark, folder):
         of = df.select(F.col("record_id").alias("e"), "split_name", "source_dataset")
-        per_record = pairs.groupBy("e").agg(F.count(F.lit(1)).alias("n"))
-        counted = per_record.join(of, "e").groupBy("split_name", "source_dataset")
+        counted = segment_join.link_counts(df, side, by_source).join(of, "e").groupBy("split_name", "source_dataset")
         counts = counted.agg(F.sum("n").alias("n_pairs"), F.count(F.lit(1)).alias("n_records"))
         out.append(counts.select(F.lit(name).alias("table_name"), "split_name", "source_dataset", "n_pairs", "n_records"))
     return same_record.union(out)

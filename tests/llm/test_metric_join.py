@@ -28,7 +28,7 @@ def brute(data):
     return sorted((i, j) for i, a in sets for j, b in sets if i < j and a and 10 * len(a & b) > 7 * len(a | b))
 
 
-@pytest.mark.parametrize(("seed", "region", "depth"), [(1, 256, 3), (2, 3, 3), (3, 2, 2), (4, 1, 1)])
+@pytest.mark.parametrize(("seed", "region", "depth"), [(1, 4096, 3), (2, 3, 3), (3, 2, 2), (4, 1, 1)])
 def test_equals_all_pairs(spark, rows, monkeypatch, seed, region, depth):
     monkeypatch.setattr(J, "REGION", region)  # small regions force the recursion and the rings
     monkeypatch.setattr(J, "DEPTH", depth)
@@ -64,5 +64,6 @@ def test_long_texts_and_rows_without_id(spark, rows, monkeypatch):
     df = spark.createDataFrame(data, "record_id long, text string")
     assert len(want) > 50 and rows(J.similar(df)) == sorted(want, key=repr)
     monkeypatch.setattr(J, "LONG", 8)
+    monkeypatch.setattr(J, "REGION", 3)
     small = make(6)
     assert rows(J.similar(spark.createDataFrame(small, "record_id long, text string"))) == sorted(brute(small), key=repr)

@@ -39,9 +39,9 @@ def brute(data):
     )
 
 
-@pytest.mark.parametrize(("seed", "hot"), [(1, 64), (2, 64), (2, 2), (3, 1)])
+@pytest.mark.parametrize(("seed", "hot"), [(1, 1024), (2, 1024), (2, 2), (3, 1)])
 def test_equals_all_pairs(spark, rows, monkeypatch, seed, hot):
-    monkeypatch.setattr(J, "HOT_ROWS", hot)  # small values send texts through the regions
+    monkeypatch.setattr(J, "SALT_ROWS", hot)  # small values salt the segments
     data = make(300, seed)
     df = spark.createDataFrame(data, "record_id long, split_name string, text string").withColumn("e1", F.lit("clash"))
     assert rows(J.similar(df, side())) == sorted(brute(data), key=repr)
@@ -69,11 +69,13 @@ def test_banded_distance():
     la, lb = np.array(list(map(len, a))), np.array(list(map(len, b)))
     for k in (0, 1, 3, 6):
         got = J.banded(pad(a, -1), la, pad(b, -2), lb, np.full(len(pairs), k))
-        want = [len(set(x) ^ set(y)) <= k for x, y in pairs]
-        assert [g and abs(len(x) - len(y)) <= k for g, x, y in zip(got, a, b, strict=True)] == want
+        assert list(got) == [len(set(x) ^ set(y)) <= k for x, y in pairs]
+    each = np.array([rng.randint(0, 9) for _ in pairs])
+    assert list(J.banded(pad(a, -1), la, pad(b, -2), lb, each)) == [len(set(x) ^ set(y)) <= k for (x, y), k in zip(pairs, each, strict=True)]
 
 
-def test_template_with_many_fillings(spark, rows):
+def test_template_with_many_fillings(spark, rows, monkeypatch):
+    monkeypatch.setattr(J, "SALT_ROWS", 32)
     template = " ".join(f"t{i}" for i in range(12))
     data = [(i, "train" if i % 2 else "dev", f"{template} a{i} b{i} c{i} d{i} e{i}") for i in range(400)]
     data += [(900, "dev", f"{template} a1 b1 c1 d1 zz")]
@@ -89,3 +91,28 @@ def test_long_texts_and_rows_without_id(spark, rows):
     want = brute([d for d in data if d[0] is not None])
     got = rows(J.similar(spark.createDataFrame(data, "record_id long, split_name string, text string"), side()))
     assert len(want) > 20 and got == sorted(want, key=repr)
+
+
+def test_forty_thousand_words(spark, rows):
+    words = [f"w{i}" for i in range(40000)]
+    data = [(1, "train", " ".join(words)), (2, "dev", " ".join(words[300:])), (3, "dev", " ".join(words[:33000]))]
+    data += [(4, "dev", " ".join(words[:32000])), (5, "dev", " ".join(words[:20000] + [f"x{i}" for i in range(20000)]))]
+    df = spark.createDataFrame(data, "record_id long, split_name string, text string")
+    assert rows(J.similar(df, side())) == [(2, 1), (3, 1)]
+
+
+def test_counts_equal_the_pairs(spark, rows):
+    rng = random.Random(11)
+    ids = ["a", "A ", "b", "", None, "c", "d"]
+    data = [(i, s, t, rng.choice(ids)) for i, s, t in make(200, 4)] + [(None, "train", "a b", "a"), (777, None, "a b", "a")]
+    df = spark.createDataFrame(data, "record_id long, split_name string, text string, source_id string").withColumn("s", F.lit("clash"))
+    pairs = set(rows(J.similar(df, side()))) | set(rows(J.same_source(df, side())))
+    want = {}
+    for e, _ in pairs:
+        want[e] = want.get(e, 0) + 1
+    assert dict(rows(J.link_counts(df, side(), True))) == want
+    text = {}
+    for e, _ in rows(J.similar(df, side())):
+        text[e] = text.get(e, 0) + 1
+    assert dict(rows(J.link_counts(df, side(), False))) == text
+    assert rows(J.link_counts(df.where("false"), side(), True)) == []
