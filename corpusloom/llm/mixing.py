@@ -1,7 +1,10 @@
 """Problem 8: mixing sources to target shares of the tokens.
 
-Each listed source gets a rate of copies per document: its weight of all tokens
-over its own tokens, at most max_repeats.  A document is repeated the whole part
+Each listed source gets a rate of copies per document: its share of all tokens over
+its own tokens, at most max_repeats.  The shares are the weights where they can be
+met; sources at max_repeats are fixed there, and the others take what is left in
+proportion to their weights, so the mix has the tokens of all listed sources if
+the repeats allow.  A document is repeated the whole part
 of its rate; the fractional parts are rounded by pivotal sampling: two documents
 exchange token mass, in a random direction of expectation zero, until the copy
 probability of one is 0 or 1.  The exchange keeps the tokens of the source as
@@ -28,6 +31,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusloom.functions.hashing import unit
+from corpusloom.llm.shares import filled
+from corpusloom.llm.tables import fixed_rows
 from corpusloom.plans.lineage import cut
 from corpusloom.plans.shipping import ship
 
@@ -35,17 +40,25 @@ FAN_IN = 32
 STATE = "doc_id long, source string, n_tokens long, copies long, p double, part long"
 
 
+RATES = "source string, weight double, max_repeats int, own_tokens long, wanted_tokens double, solved_tokens double, rate double, unmet boolean"
+
+
 def rates(tokens: DataFrame, targets: DataFrame) -> DataFrame:
-    """One row per source of ``targets`` (a fixed list) with its rate and tokens."""
-    own = tokens.groupBy("source").agg(F.sum("n_tokens").alias("own_tokens"))
-    rows = targets.join(F.broadcast(targets.select("source")).join(own, "source"), "source", "left")
-    rows = rows.withColumn("own_tokens", F.coalesce("own_tokens", F.lit(0)))
-    total = rows.groupBy().agg(F.sum("own_tokens").alias("t")).first()["t"] or 0
-    wanted = F.coalesce("weight", F.lit(0.0)) * F.lit(float(total))
-    repeats = F.coalesce("max_repeats", F.lit(0))
-    most = repeats * F.col("own_tokens")
-    rate = F.when(F.col("own_tokens") > 0, F.least(repeats.cast("double"), wanted / F.col("own_tokens"))).otherwise(0.0)
-    return rows.select("source", "weight", "max_repeats", "own_tokens", wanted.alias("wanted_tokens"), rate.alias("rate"), (most < wanted).alias("unmet"))
+    """One row per source of ``targets`` (a fixed list) with its tokens, wanted and solved, and its rate."""
+    rows = sorted(fixed_rows(targets, ["source", "weight", "max_repeats"]), key=lambda r: str(r.source))
+    listed = F.broadcast(targets.select("source").distinct())
+    counts = tokens.join(listed, "source", "left_semi").groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()
+    own = {r.source: r.n or 0 for r in counts}
+    total = sum(own.values())
+    wanted = [(r.weight or 0.0) * total for r in rows]
+    most = [(r.max_repeats or 0) * own.get(r.source, 0) for r in rows]
+    solved = filled(wanted, [0.0] * len(rows), [float(m) for m in most], sum(wanted))
+    out = []
+    for r, w, m, x in zip(rows, wanted, most, solved, strict=True):
+        n = own.get(r.source, 0)
+        rate = float(r.max_repeats or 0) if n and x >= m else x / n if n else 0.0
+        out.append((r.source, r.weight, r.max_repeats, n, w, x, rate, m < w))
+    return tokens.sparkSession.createDataFrame(out, RATES)
 
 
 def exchange(t: float, p: float, u: float, q: float, draw: float) -> tuple[float, float]:
@@ -131,9 +144,17 @@ def copies(tokens: DataFrame, rate: DataFrame, seed: int = 8) -> DataFrame:
 
 
 def shares(mixed: DataFrame, rate: DataFrame) -> DataFrame:
-    """Wanted and actual share of each source in the mix."""
+    """Wanted, solved and actual tokens and share of each source in the mix."""
     got = mixed.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("mixed_tokens"))
     rows = rate.join(got, "source", "left").withColumn("mixed_tokens", F.coalesce("mixed_tokens", F.lit(0)))
-    everything = F.sum("mixed_tokens").over(W.partitionBy(F.lit(1)))  # one row for each listed source
-    share = F.when(everything > 0, F.col("mixed_tokens") / everything).otherwise(0.0)
-    return rows.select("source", "weight", "max_repeats", "own_tokens", "mixed_tokens", share.alias("actual_share"), "unmet")
+    all_sources = W.partitionBy(F.lit(1))  # one row for each listed source
+    share = lambda c: F.when(F.sum(c).over(all_sources) > 0, F.col(c) / F.sum(c).over(all_sources)).otherwise(0.0)
+    return rows.select(
+        "source", "weight", "max_repeats", "own_tokens", "wanted_tokens", "solved_tokens", "mixed_tokens",
+        share("solved_tokens").alias("solved_share"), share("mixed_tokens").alias("actual_share"), "unmet",
+    )
+
+
+def unmet(mixed: DataFrame, rate: DataFrame) -> DataFrame:
+    """Sources whose tokens in the mix fall short of their weight and would with every repeat."""
+    return shares(mixed, rate).where((F.col("mixed_tokens") < F.col("wanted_tokens")) & F.col("unmet")).select("source")

@@ -43,8 +43,6 @@ ORACLES = {
     "p2_overlaps": f"""with {_TRAIN_EVAL} select prs.tab as table_name, evl.split_name, evl.source_dataset, count(*) as n_pairs, count(distinct e) as n_records
       from prs join evl on evl.tab = prs.tab and evl.record_id = prs.e group by 1, 2, 3""",
     "p3_found": f"with {KEYED}, {_FILLED} select first_id, field_name, from_id from ({_ELECTED})",
-    "p3_survivors": f"""with {KEYED}, {_FILLED}, b as ({_ELECTED}) select first_id, max(case when field_name = 'source_dataset' then value end) as source_dataset,
-      max(case when field_name = 'raw_label' then value end) as raw_label, max(case when field_name = 'macro_label' then value end) as macro_label from b group by 1""",
     "p4_found": f"""with s as (select record_id, {_WORDS("coalesce(processed_text, '')")} as s from ood_leakage_precheck),
       w as (select record_id, len(s) as n, unnest(s) as w from s),
       m as (select a.record_id as id_a, b.record_id as id_b, any_value(a.n) as x, any_value(b.n) as y, count(*) as i from w a join w b on a.w = b.w and a.record_id < b.record_id group by 1, 2)

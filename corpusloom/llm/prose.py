@@ -27,6 +27,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm.tables import fixed_rows
 from corpusloom.plans.lineage import cut
 
 STATISTICS = [
@@ -64,7 +65,7 @@ def statistics(df: DataFrame, common_words: DataFrame) -> DataFrame:
 
     ``common_words`` is a fixed table of a few hundred rows.
     """
-    listed = common_words.select("lang", "word").limit(100_000).collect()
+    listed = fixed_rows(common_words, ["lang", "word"], 100_000)
     words = sorted({r.word.lower() for r in listed if r.word})
     langs = sorted({r.lang for r in listed if r.lang})
     is_common = (lambda w: w.isin(words)) if words else (lambda w: F.lit(False))
@@ -160,7 +161,7 @@ def _measured(stats: DataFrame, model: list[tuple]) -> DataFrame:
 def measured(df: DataFrame, common_words: DataFrame) -> DataFrame:
     """Statistics, terms and squared distance of every text that isn't blank."""
     stats = cut(statistics(df, common_words))
-    cells = sorted({r.lang for r in common_words.select("lang").distinct().limit(1000).collect() if r.lang} | {"und"})
+    cells = sorted({r.lang for r in fixed_rows(common_words, ["lang"]) if r.lang} | {"und"})
     core = stats.where(F.col("common_share") >= FIRST_SHARE)
     for _ in range(ROUNDS):
         out = _measured(stats, _model(_moments(core), cells))

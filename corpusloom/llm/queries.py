@@ -74,8 +74,8 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_survivors(spark: SparkSession, folder: str) -> DataFrame:
-    """One built record per group: the value of each field that survives."""
-    chosen = survivor.elected(_survivor_rows(spark, folder))
+    """One built record per group: the value of each field that the records' weighted vote is nearest to."""
+    chosen = survivor.elected(_survivor_rows(spark, folder), weights="records")
     values = {f: F.max(F.when(F.col("field_name") == f, F.col("value"))).alias(f) for f in survivor.FIELDS}
     return chosen.groupBy("first_id").agg(*values.values())
 
@@ -137,8 +137,9 @@ def _mix(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Sources that can't reach their weight."""
-    return _mix(spark, folder)[1].where("unmet").select("source")
+    """Sources that fall short of their weight in the mix and can't reach it."""
+    tokens, rate = _mix(spark, folder)
+    return mixing.unmet(mixing.copies(tokens, rate), rate)
 
 
 def p8_mix(spark: SparkSession, folder: str) -> DataFrame:
@@ -147,7 +148,7 @@ def p8_mix(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
-    """Wanted and actual share of every source."""
+    """Wanted, solved and actual share of every source."""
     tokens, rate = _mix(spark, folder)
     return mixing.shares(mixing.copies(tokens, rate), rate)
 

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.hashing import check_word, key128
+from corpusloom.llm.tables import fixed_rows
 
 IGNORED = r"[\p{P}\p{IsWhite_Space}]+"
 CUTS = r"[|;\n]"
@@ -48,7 +49,7 @@ def canonical(text: Column, field_names: list[str]) -> Column:
 
 def squeezed_names(form_fields: DataFrame) -> list[str]:
     """The squeezed names in form_fields (a fixed table of a dozen rows)."""
-    rows = form_fields.select(squeezed(F.col("field_name")).alias("n")).where("n <> ''").distinct().limit(1000).collect()
+    rows = fixed_rows(form_fields.select(squeezed(F.col("field_name")).alias("n")).where("n <> ''"), ["n"])
     return sorted(r.n for r in rows)
 
 

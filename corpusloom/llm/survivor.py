@@ -9,14 +9,18 @@ against the profile so far), the tokens of each column vote with the weight of
 their value, and the existing value nearest to the consensus survives; the
 best-ranked one wins a tie.
 
-With ``weights="trust"`` the value ranked i weighs 2**-i, more than all later
-ones together: then the vote follows the order of trust exactly.  With
-``weights="records"`` every record votes with the trust of its dataset.
+With ``weights="records"`` every record votes with the trust of its dataset, so
+many records of middling trust outvote one of greater trust, and tokens that most
+values share carry values that hold them.  With ``weights="trust"`` the value
+ranked i weighs 2**-i, more than all later ones together: the vote is then at its
+limit, the order of trust, which ``p3_found`` has to give; ``p3_survivors`` is
+the vote of records.
 
 Defined cases: null, blank and unlisted values take no part; a group with no
 filled value gives no row for that field; equal trust falls to the later
 loaded_at (null last), then the smaller record_id; unlisted datasets rank last;
-an empty table gives no row.
+an empty table gives no row; a dataset without trust in the registry counts as
+unlisted.
 """
 
 from __future__ import annotations
@@ -29,6 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusloom.llm.tables import fixed_rows
 from corpusloom.plans.shipping import ship
 
 FIELDS = ["source_dataset", "raw_label", "macro_label"]
@@ -113,8 +118,8 @@ def prepared(df: DataFrame, registry: DataFrame, label_map: DataFrame, targets:
 
     ``registry`` and ``label_map`` are fixed tables of 7 and 20 rows.
     """
-    trust = {r.source_dataset: int(r.trust) for r in registry.select("source_dataset", "trust").limit(1000).collect() if r.source_dataset is not None}
-    labels = sorted({r.raw_label for r in label_map.select("raw_label").limit(1000).collect() if r.raw_label is not None})
+    trust = {r.source_dataset: int(r.trust) for r in fixed_rows(registry, ["source_dataset", "trust"]) if r.source_dataset is not None and r.trust is not None}
+    labels = sorted({r.raw_label for r in fixed_rows(label_map, ["raw_label"]) if r.raw_label is not None})
     of = F.lit(None).cast("long")
     for name, value in sorted(trust.items()):
         of = F.when(F.col("source_dataset") == name, F.lit(value).cast("long")).otherwise(of)

@@ -1,7 +1,8 @@
 """Problem 6: one consistent form for texts that look the same.
 
 A regular expression inside the JVM (the quick check) finds texts with an
-unstable character: one that normalisation could change or combine.  Texts
+unstable character: one that normalisation could change or combine, by the
+Unicode properties of each character (``stable``).  Texts
 without one are passed on as they are.  In the others only the unstable
 segments, each with the character before and after it as context, are
 normalised, and the results are spliced between the untouched stretches.
@@ -25,6 +26,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -32,6 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.functions.hashing import key128
+from corpusloom.plans.lineage import cut
 from corpusloom.plans.shipping import ship
 
 # Look-alike letters, each with the Latin letter it is drawn as.
@@ -60,12 +63,6 @@ UNSEEN = [
 ]
 #: Space characters (Zs) but U+0020.
 SPACES = [(0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000)]
-#: Stable on their own: no form of theirs differs, they compose with nothing before.
-STABLE = [
-    (0x09, 0x0D), (0x20, 0x7E), (0x85, 0x85), (0xA1, 0xAC), (0xAE, 0x2FF), (0x60C, 0x60C), (0x61B, 0x61B), (0x61F, 0x61F),
-    (0x621, 0x63A), (0x640, 0x652), (0x660, 0x66D), (0x2010, 0x2027), (0x2030, 0x205E), (0x20A0, 0x20BF),
-    (0x2116, 0x2125), (0x2190, 0x2328), (0x232B, 0x27BF), (0x1F300, 0x1FAFF),
-]
 #: Arabic vowel marks: one is stable, the order of two may not be.
 MARKS = (0x64B, 0x652)
 
@@ -74,20 +71,19 @@ def _class(ranges: list[tuple[int, int]], style: str) -> str:
     return "".join(f"{style.format(a)}-{style.format(b)}" for a, b in ranges)
 
 
-PY, JVM = "\\U{:08x}", "\\x{{{:x}}}"
-#: What the quick check looks for, in the JVM's syntax.
-JVM_QUICK = f"[^{_class(STABLE, JVM)}]|[{_class([MARKS], JVM)}]{{2}}"
-
 _TABLE = str.maketrans(
     CYRILLIC + GREEK + ARMENIAN + DIGITS, CYRILLIC_AS + GREEK_AS + ARMENIAN_AS + DIGITS_AS
 )
+PY, JVM = "\\U{:08x}", "\\x{{{:x}}}"
 _SPACE = re.compile(f"[{_class(SPACES, PY)}]")
 _UNSEEN = re.compile(f"[{_class(UNSEEN, PY)}]")
 _OTHER_UNSEEN = re.compile(f"(?!{JOINER})[{_class(UNSEEN, PY)}]")
 _MARK = f"[{_class([MARKS], PY)}]"
-#: Unstable characters with their context: the character before and after, and
-#: the vowel marks that stand between.
-_SEGMENT = re.compile(f"(?s:.)?{_MARK}*(?:(?:[^{_class(STABLE, PY)}]|{_MARK}{{2}})+{_MARK}*(?s:.)?{_MARK}*)+")
+#: Blocks whose characters are tried for stability; all others pass for unstable.
+BLOCKS = [(0x00, 0x6FF), (0x2000, 0x2BFF), (0x1F000, 0x1FAFF)]
+#: Shortest run of stable characters that the quick check names outside these blocks (it
+#: is searched range by range; what it doesn't name is only looked at more closely).
+LEAST_RUN, MAIN_BLOCKS = 16, [(0x00, 0xFF), (0x600, 0x6FF)]
 
 
 def _pictured(ch: str) -> bool:
@@ -119,6 +115,50 @@ def segment(text: str) -> str:
     return unicodedata.normalize("NFC", unicodedata.normalize("NFD", text).translate(_TABLE))
 
 
+@lru_cache(maxsize=1)
+def stable() -> list[tuple[int, int]]:
+    """Ranges of characters that stay as they are, whatever stands beside them.
+
+    That is the normalisation quick check: a character is stable if it is its own
+    form (so its NFC quick check is Yes, and nothing of it is replaced), starts a
+    segment (combining class 0) and never is the second of a composition (quick
+    check Maybe).  Vowel marks are stable one by one, their combining classes
+    being in order then.
+    """
+    second = {unicodedata.decomposition(chr(c)).split()[1] for c in range(0x3400) if " " in unicodedata.decomposition(chr(c)) and "<" not in unicodedata.decomposition(chr(c))}
+    follows = {int(x, 16) for x in second} | set(range(0x1161, 0x1176)) | set(range(0x11A8, 0x11C3))
+
+    def fixed(c: int) -> bool:
+        ch = chr(c)
+        if MARKS[0] <= c <= MARKS[1]:
+            return True
+        if ch in (JOINER, KEHEH, FARSI_YEH) or unicodedata.combining(ch) or c in follows or unicodedata.category(ch) in ("Cn", "Cs", "Co"):
+            return False
+        return segment(ch) == ch and unicodedata.is_normalized("NFC", ch)
+
+    runs: list[list[int]] = []
+    for a, b in BLOCKS:
+        for c in range(a, b + 1):
+            if fixed(c):
+                if runs and runs[-1][1] == c - 1:
+                    runs[-1][1] = c
+                else:
+                    runs.append([c, c])
+    return [(a, b) for a, b in runs if b - a + 1 >= LEAST_RUN or any(x <= a and b <= y for x, y in MAIN_BLOCKS)]
+
+
+@lru_cache(maxsize=1)
+def quick_check() -> str:
+    """What makes a text unstable, as a regular expression of the JVM."""
+    return f"[^{_class(stable(), JVM)}]|[{_class([MARKS], JVM)}]{{2}}"
+
+
+@lru_cache(maxsize=1)
+def segments() -> re.Pattern:
+    """Unstable characters with their context: the character before and after, and the vowel marks between."""
+    return re.compile(f"(?s:.)?{_MARK}*(?:(?:[^{_class(stable(), PY)}]|{_MARK}{{2}})+{_MARK}*(?s:.)?{_MARK}*)+")
+
+
 def _arabic(text: str) -> str:
     """Keheh and Farsi yeh by what follows in the word, marks passed over."""
     out = list(text)
@@ -137,7 +177,7 @@ def _arabic(text: str) -> str:
 
 def visual(text: str) -> str:
     """The form of a whole text: unstable segments normalised, the rest spliced in."""
-    done = _SEGMENT.sub(lambda m: segment(m[0]), text)
+    done = segments().sub(lambda m: segment(m[0]), text)
     return _arabic(done) if KEHEH in done or FARSI_YEH in done else done
 
 
@@ -150,7 +190,7 @@ def _visual(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 def formed(df: DataFrame, text: str = "text", form: str = "form") -> DataFrame:
     """``df`` with the visual form of ``text``; only unstable texts reach Python."""
     ship(df.sparkSession)
-    unstable = F.col(text).rlike(JVM_QUICK)
+    unstable = F.col(text).rlike(quick_check())
     marked = df.withColumn("_closer", F.when(unstable, F.col(text)))
     return marked.withColumn(form, F.coalesce(_visual("_closer"), F.col(text))).drop("_closer")
 
@@ -163,7 +203,7 @@ def alike(df: DataFrame, text: str = "text") -> DataFrame:
     out for the records that hold them, so copies of one string never meet.
     """
     held = df.where(F.col("record_id").isNotNull() & F.col(text).rlike(r"[\p{L}\p{N}]")).select("record_id", F.col(text).alias("text"))
-    rows = formed(held).select("record_id", *key128(F.col("form")), F.xxhash64("text").alias("raw"))
+    rows = cut(formed(held).select("record_id", *key128(F.col("form")), F.xxhash64("text").alias("raw")))
     varied = rows.groupBy("k1", "k2").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).where("lo <> hi").select("k1", "k2")
     kept = rows.join(varied, ["k1", "k2"], "left_semi")
     strings = kept.select("k1", "k2", "raw").distinct()

@@ -20,8 +20,11 @@ def test_rates_and_unmet(spark, rows):
     own = {s: sum(t for _, x, t in docs if x == s) for s in "abc"}
     total = sum(own.values())
     rate = {r.source: r for r in M.rates(tokens, targets).collect()}
-    assert rate["a"].rate == pytest.approx(0.2 * total / own["a"]) and rate["none"].rate == 0
-    assert rate["c"].unmet == (own["c"] < 0.3 * total) and rate["none"].unmet and not rate["a"].unmet
+    left = total - (own["c"] if own["c"] < 0.3 * total else 0)  # c is fixed at one copy
+    assert own["c"] < 0.3 * total and rate["c"].unmet and rate["c"].rate == 1 and rate["none"].unmet and rate["none"].rate == 0
+    assert not rate["a"].unmet and rate["a"].rate == pytest.approx(min(0.2 / 0.5 * left, 3 * own["a"]) / own["a"])
+    solved = sum(r.solved_tokens for r in rate.values())
+    assert solved == pytest.approx(min(total, 3 * own["a"] + 3 * own["b"] + own["c"]))
 
 
 def test_tokens_are_conserved(spark):
@@ -35,6 +38,7 @@ def test_tokens_are_conserved(spark):
         assert abs(got - by[s].rate * by[s].own_tokens) <= 200
         assert all(int(by[s].rate) <= r.copies <= by[s].max_repeats for r in mixed if r.source == s)
     assert {r.source: r.unmet for r in M.shares(M.copies(tokens, rate), rate).collect()}["none"]
+    assert {r.source for r in M.unmet(M.copies(tokens, rate), rate).collect()} == {r.source for r in rate.collect() if r.unmet}
 
 
 def test_copies_are_unbiased():

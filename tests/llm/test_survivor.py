@@ -63,3 +63,12 @@ def test_votes_of_records(spark, rows):
     data = [(1, "a", "A", "Egypt", None, day(1)), *[(i, "a", "B", "Jordan", None, day(1)) for i in range(2, 6)]]
     chosen = {r[1]: r[2] for r in rows(survivor.elected(prepared(spark, data), weights="records").select("first_id", "field_name", "value"))}
     assert chosen["raw_label"] == "Jordan"
+
+
+def test_the_vote_and_its_limit_differ(spark, rows):
+    data = [(1, "a", "A", "Egypt", None, day(3)), *[(i, "a", "C", "Saudi_Arabia", None, day(1)) for i in range(2, 7)], (9, "b", "A", "Egypt", None, day(1)), (10, "b", "C", "Jordan", None, day(1))]
+    frame = prepared(spark, data)
+    pick = lambda w: {(r[0], r[1]): r[2] for r in rows(survivor.elected(frame, weights=w).select("first_id", "field_name", "value"))}
+    ranked, voted = pick("trust"), pick("records")
+    assert ranked[1, "raw_label"] == "Egypt" and voted[1, "raw_label"] == "Saudi_Arabia"
+    assert ranked[9, "raw_label"] == voted[9, "raw_label"] == "Egypt"
