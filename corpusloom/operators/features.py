@@ -59,21 +59,25 @@ def tfidf(counts: DataFrame, frequencies: DataFrame, n_rows: int, key: str) -> D
     """(key, term, weight): (1 + ln tf) * (ln((1 + n) / (1 + df)) + 1), unit length per row."""
     idf = F.log((F.lit(1.0) + n_rows) / (F.col("df") + 1)) + 1
     raw = counts.join(frequencies, "term").withColumn("raw", (F.log(F.col("tf").cast("double")) + 1) * idf)
-    norms = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-    return raw.join(norms, key).select(key, "term", (F.col("raw") / F.col("norm")).alias("weight"))
+    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(W.partitionBy(key)))  # the terms of one row
+    return raw.select(key, "term", (F.col("raw") / norm).alias("weight"))
 
 
 class Vectorizer:
     """Two TF-IDF spaces side by side (words, characters), fitted on training rows."""
 
-    def __init__(self, word_min_df: int = 2, char_min_df: int = 2) -> None:
+    def __init__(
+        self, word_min_df: int = 2, char_min_df: int = 2, word_range: tuple[int, int] = (1, 2), char_range: tuple[int, int] = (3, 5), lowercase: bool = False
+    ) -> None:
+        self.word_range, self.char_range, self.lowercase = word_range, char_range, lowercase
         self.least = {"w:": word_min_df, "c:": char_min_df}
         self.spaces: dict[str, DataFrame] = {}
         self.n_rows = self.size = 0
         self.index: DataFrame | None = None
 
     def _counts(self, rows: DataFrame, key: str, text: str) -> dict[str, DataFrame]:
-        return {"w:": term_counts(rows, key, word_ngrams(F.col(text))), "c:": term_counts(rows, key, char_ngrams(F.col(text)))}
+        t = F.lower(text) if self.lowercase else F.col(text)
+        return {"w:": term_counts(rows, key, word_ngrams(t, *self.word_range)), "c:": term_counts(rows, key, char_ngrams(t, *self.char_range))}
 
     def fit(self, rows: DataFrame, key: str, text: str) -> Vectorizer:
         """Learn the terms of ``rows``; each gets a position, counted block by block of hashes."""
@@ -113,12 +117,11 @@ def classifier(c: float, n_rows: int, max_iter: int = 2000) -> Pipeline:
     return Pipeline(stages=[lr])
 
 
-def fit_predict(train: DataFrame, dev: DataFrame, key: str, text: str, target: str, c: float = 4.0, min_df: tuple[int, int] = (2, 2), max_iter: int = 2000) -> DataFrame:
-    """(key, true_label, predicted_label) of ``dev`` by a model of ``train``.
-
-    ``min_df`` gives the rows that a word term and a character term need.
-    """
-    vectors = Vectorizer(*min_df).fit(train, key, text)
+def fit_predict(
+    train: DataFrame, dev: DataFrame, key: str, text: str, target: str, c: float = 4.0, max_iter: int = 2000, vectorizer: Vectorizer | None = None
+) -> DataFrame:
+    """(key, true_label, predicted_label) of ``dev`` by a model of ``train``."""
+    vectors = (vectorizer or Vectorizer()).fit(train, key, text)
     labelled = train.select(key, label_index(F.col(target)).cast("double").alias("label"))
     model = classifier(c, vectors.n_rows, max_iter).fit(vectors.transform(train, key, text).join(labelled, key))
     scored = model.transform(vectors.transform(dev, key, text))

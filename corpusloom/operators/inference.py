@@ -26,15 +26,14 @@ class Provider(Protocol):
     def __call__(self, developer_prompt: str, user_prompt: str) -> tuple[str, int, int, float]: ...
 
 
-def developer_prompt(labels: list[str] = LABELS) -> str:
-    """What the model is told once: the labels and how to decide."""
-    regions = {
-        "Saudi": "dialects of Saudi Arabia only, no other Gulf text", "Egyptian": "dialects of Egypt",
-        "Levantine": "dialects of Jordan, Lebanon, Palestine and Syria", "Maghrebi": "dialects of Algeria, Libya, Morocco and Tunisia",
-    }
-    lines = ["Classify the Arabic dialect of short texts.", f"Allowed labels: {', '.join(labels)}.", "Use these exact strings only."]
-    lines += [f"- {x}: {regions.get(x, x)}." for x in labels]
-    return "\n".join([*lines, "Texts may be short or close to standard Arabic; weigh dialect words over the topic."])
+REGIONS = {"Saudi": "Saudi Arabia", "Egyptian": "Egypt", "Levantine": "the Levant", "Maghrebi": "North Africa west of Egypt"}
+TASK = "You sort social media posts by where their Arabic comes from. Judge by words and endings that only one region uses, and not by what a post is about."
+
+
+def developer_prompt(labels: list[str] = LABELS, task: str = TASK) -> str:
+    """What the model is told once: the task (a parameter) and the label of each region."""
+    choices = "; ".join(f"{x} for {REGIONS[x]}" if x in REGIONS else x for x in labels)
+    return f"{task} Answer with one label for each post: {choices}."
 
 
 def support_block(examples: DataFrame) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corpusloom.functions.hashing import key128
 from corpusloom.functions.labels import LABELS, label_dimension
 from corpusloom.functions.text import jaccard, length_bound, percentage, token_set
+from corpusloom.plans.lineage import cut
 
 
 def shared_values(reference: DataFrame, candidate: DataFrame, field: str) -> DataFrame:
@@ -76,44 +78,61 @@ def duplicate_totals(groups: DataFrame) -> DataFrame:
     return groups.agg(F.count(F.lit(1)).alias("n_groups"), F.coalesce(F.sum(F.col("n_rows") - 1), F.lit(0)).alias("n_additional_rows"))
 
 
+#: Tokens that make up at least this part of all are ordered by their exact number
+#: (so there are at most this many), the others by the token alone.
+FREQUENT = 16384
+
+
+def _token_set(text: str) -> Column:
+    return F.array_sort(token_set(F.coalesce(text, F.lit(""))))
+
+
 def similar_pairs(reference: DataFrame, candidate: DataFrame, threshold: float, text: str = "processed_text") -> DataFrame:
-    """Pairs of distinct token sets whose Jaccard similarity exceeds ``threshold``.
+    """(a1, a2, b1, b2, similarity): keys of distinct token sets whose Jaccard similarity exceeds ``threshold``.
 
-    Exact prefix filter: tokens are ordered rare first (by their number of sets,
-    then the token), and two sets above the threshold share a token among the
-    first n - ceil(t * n) + 1 of each.  Equal sets are one row, so hot texts cost
-    nothing; the pair is kept at the first token both prefixes share.
+    Exact prefix filter: tokens are put in one order, rare ones first, and two sets
+    above the threshold share a token among the first n - ceil(t * n) + 1 of each.
+    Only (token, key, size, position) travel; sizes and positions decide in the join
+    which pairs are left, and only these fetch their sets.  Equal sets are one row,
+    so hot texts cost nothing, and stop words stand behind every prefix.
     """
-    held = lambda df: df.select(F.array_sort(token_set(F.coalesce(text, F.lit("")))).alias("s")).where(F.size("s") > 0).distinct()
-    sides = held(reference).withColumn("side", F.lit(0)).union(held(candidate).withColumn("side", F.lit(1)))
-    sides = sides.withColumn("id", F.xxhash64("s"))
-    words = sides.select("side", "id", "s", F.explode("s").alias("token"))
-    frequency = words.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    ordered = words.join(frequency, "token").groupBy("side", "id", "s").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("o"))
-    n = F.size("s")
-    needed = F.greatest(F.ceil(n * threshold - 1e-9).cast("int"), F.lit(1))
-    prefix = ordered.select("side", "s", F.posexplode(F.slice("o.token", F.lit(1), n - needed + 1)).alias("at", "token"))
-    a = prefix.where("side = 0").select("token", F.col("s").alias("a"))
-    b = prefix.where("side = 1").select("token", F.col("s").alias("b"))
-    close = length_bound(F.size("a"), F.size("b")) > threshold
-    return a.join(b, "token").where(close).where(jaccard(F.col("a"), F.col("b")) > threshold).select("a", "b").distinct()
+    keyed = lambda df, side: df.select(F.lit(side).alias("side"), _token_set(text).alias("s")).where(F.size("s") > 0).distinct()
+    sets = cut(keyed(reference, 0).union(keyed(candidate, 1)).select("side", *key128(F.col("s")), "s"))
+    words = sets.select("side", "k1", "k2", F.explode("s").alias("token"))
+    total = sets.agg(F.sum(F.size("s")).alias("t")).first()["t"] or 0
+    counts = words.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= max(2, -(-total // FREQUENT)))
+    place = F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token")
+    ordered = words.join(F.broadcast(counts), "token", "left").groupBy("side", "k1", "k2").agg(F.array_sort(F.collect_list(place)).alias("o"))
+    size = F.size("o")
+    needed = F.greatest(F.ceil(size * threshold - 1e-9).cast("int"), F.lit(1))
+    prefix = ordered.select("side", "k1", "k2", size.alias("n"), F.posexplode(F.slice("o.token", F.lit(1), size - needed + 1)).alias("i", "token"))
+    of = lambda side, p: prefix.where(F.col("side") == side).select("token", *[F.col(c).alias(f"{p}{d}") for c, d in (("k1", 1), ("k2", 2), ("n", "n"), ("i", "i"))])
+    most = F.least(F.col("an") - F.col("ai"), F.col("bn") - F.col("bi"))
+    close = (length_bound(F.col("an"), F.col("bn")) > threshold) & (most / (F.col("an") + F.col("bn") - most) > threshold)
+    found = of(0, "a").join(of(1, "b"), "token").where(close).select("a1", "a2", "b1", "b2").distinct()
+    held = lambda side, p: sets.where(F.col("side") == side).select(F.col("k1").alias(f"{p}1"), F.col("k2").alias(f"{p}2"), F.col("s").alias(f"{p}s"))
+    known = found.join(held(0, "a"), ["a1", "a2"]).join(held(1, "b"), ["b1", "b2"])
+    return known.select("a1", "a2", "b1", "b2", jaccard(F.col("as"), F.col("bs")).alias("similarity")).where(F.col("similarity") > threshold)
 
 
 def similar_rows(reference: DataFrame, candidate: DataFrame, threshold: float, text: str = "processed_text") -> DataFrame:
-    """``candidate`` rows with a reference text above the threshold."""
-    flagged = similar_pairs(reference, candidate, threshold, text).select(F.col("b").alias("_s")).distinct()
-    rows = candidate.withColumn("_s", F.array_sort(token_set(F.coalesce(text, F.lit("")))))
-    return rows.join(flagged, "_s", "left_semi").drop("_s")
+    """``candidate`` rows with a reference text above the threshold, and n_links: how many reference rows have one.
+
+    Rows of equal token sets are counted before the join.
+    """
+    copies = reference.groupBy(*key128(_token_set(text), ("a1", "a2"))).agg(F.count(F.lit(1)).alias("n"))
+    links = similar_pairs(reference, candidate, threshold, text).join(copies, ["a1", "a2"]).groupBy("b1", "b2").agg(F.sum("n").alias("n_links"))
+    rows = candidate.select("*", *key128(_token_set(text), ("b1", "b2")))
+    return rows.join(links, ["b1", "b2"]).drop("b1", "b2")
 
 
 def first_partners(reference: DataFrame, candidate: DataFrame, threshold: float, text: str = "processed_text") -> DataFrame:
     """The smallest reference id above the threshold of each candidate row, with the similarity."""
-    key = F.array_sort(token_set(F.coalesce(text, F.lit(""))))
     pairs = similar_pairs(reference, candidate, threshold, text)
-    holders = reference.select(key.alias("a"), "record_id").groupBy("a").agg(F.min("record_id").alias("reference_id"))
-    best = pairs.join(holders, "a").groupBy("b").agg(F.min(F.struct("reference_id", jaccard(F.col("a"), F.col("b")).alias("similarity"))).alias("x"))
-    rows = candidate.select(key.alias("b"), F.col("record_id").alias("candidate_id"))
-    return rows.join(best, "b").select("candidate_id", "x.reference_id", "x.similarity")
+    holders = reference.groupBy(*key128(_token_set(text), ("a1", "a2"))).agg(F.min("record_id").alias("reference_id"))
+    best = pairs.join(holders, ["a1", "a2"]).groupBy("b1", "b2").agg(F.min(F.struct("reference_id", "similarity")).alias("x"))
+    rows = candidate.select(F.col("record_id").alias("candidate_id"), *key128(_token_set(text), ("b1", "b2")))
+    return rows.join(best, ["b1", "b2"]).select("candidate_id", "x.reference_id", "x.similarity")
 
 
 def label_distribution(rows: DataFrame, keys: list[str] | None = None) -> DataFrame:

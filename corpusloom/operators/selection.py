@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.labels import LABELS, is_tracked
 from corpusloom.functions.text import latin_count, strip_ws, support_score, token_count
+from corpusloom.plans.lineage import cut
 
 
 def few_shot(rows: DataFrame, text: str, label: str, per_class: int) -> DataFrame:
@@ -35,26 +36,23 @@ def require_per_class(chosen: DataFrame, per_class: int) -> DataFrame:
     return chosen
 
 
-def numbered(rows: DataFrame, order: list[str], name: str = "position", block_rows: int = 100_000) -> DataFrame:
-    """``rows`` with their position from 0 in the total order of ``order``.
+def numbered(rows: DataFrame, order: list[str], name: str = "position", parts: int | None = None) -> DataFrame:
+    """``rows`` with their position from 0 in the total order of ``order``, nulls first.
 
-    Rows are counted in range blocks (quantiles of the first column, which must be
-    a number), so no step orders more than a block in one task; rows without that
-    number are a block of their own, the first.
+    The rows are cut into ranges of all order columns (as many as the session's
+    shuffle partitions, or ``parts``), so a hot first value is cut by the next
+    column; each range is ordered and kept in the shared folder.  A row's position
+    is its place in its range behind the rows of the ranges before, of which there is
+    one number each.
     """
-    n = rows.count()
-    first = order[0]
-    if n <= block_rows:
-        return rows.withColumn(name, F.row_number().over(W.partitionBy(F.lit(0)).orderBy(*order)) - 1)
-    blocks = -(-n // block_rows)
-    cuts = rows.approxQuantile(first, [i / blocks for i in range(1, blocks)], 0.001)
-    block = sum(((F.col(first) > c).cast("int") for c in sorted(set(cuts))), F.lit(0))
-    marked = rows.withColumn("_block", F.when(F.col(first).isNull(), -1).otherwise(block))
-    starts = marked.groupBy("_block").agg(F.count(F.lit(1)).alias("n"))
-    before = F.coalesce(F.sum("n").over(W.partitionBy(F.lit(1)).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    starts = F.broadcast(starts.select("_block", before.alias("_start")))
-    place = F.row_number().over(W.partitionBy("_block").orderBy(*order)) - 1
-    return marked.withColumn("_place", place).join(starts, "_block").withColumn(name, F.col("_start") + F.col("_place")).drop("_block", "_start", "_place")
+    ranged = rows.repartitionByRange(parts, *order) if parts else rows.repartitionByRange(*order)
+    kept = cut(ranged.sortWithinPartitions(*order))
+    placed = kept.withColumn("_place", F.monotonically_increasing_id())
+    part, place = F.shiftright("_place", 33), F.col("_place").bitwiseAND((1 << 33) - 1)
+    sizes = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(W.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(W.unboundedPreceding, -1))  # one row for each range
+    starts = F.broadcast(sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_start")))
+    return placed.withColumn("_part", part).join(starts, "_part").withColumn(name, F.col("_start") + place).drop("_part", "_place", "_start")
 
 
 def batches(rows: DataFrame, order: list[str], size: int) -> DataFrame:

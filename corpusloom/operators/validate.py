@@ -88,14 +88,12 @@ def texts_in_several_files(found: DataFrame) -> DataFrame:
 def file_pairs(found: DataFrame) -> DataFrame:
     """(file_a, file_b, n_shared): distinct texts that two files share.
 
-    A text that many files hold gives as many pairs as the report needs; it is
-    kept as one sorted list per text, so the pairs arise within a row.
+    Distinct (text, file) rows meet on the text, so each gives the pairs that the
+    report needs and no row holds a list of files; pairs are counted on the map side.
     """
-    files = found.select("text_hash", "file").distinct().groupBy("text_hash").agg(F.array_sort(F.collect_list("file")).alias("f")).where(F.size("f") > 1)
-    lists = files.groupBy("f").agg(F.count(F.lit(1)).alias("n"))
-    first = lists.select("f", "n", F.posexplode("f").alias("i", "file_a"))
-    pairs = first.select("n", "file_a", F.explode(F.slice("f", F.col("i") + 2, F.size("f"))).alias("file_b"))
-    return pairs.groupBy("file_a", "file_b").agg(F.sum("n").alias("n_shared"))
+    held = found.select("text_hash", "file").distinct()
+    a, b = held.withColumnRenamed("file", "file_a"), held.withColumnRenamed("file", "file_b")
+    return a.join(b, "text_hash").where("file_a < file_b").groupBy("file_a", "file_b").agg(F.count(F.lit(1)).alias("n_shared"))
 
 
 def cross_file_conflicts(found: DataFrame) -> DataFrame:

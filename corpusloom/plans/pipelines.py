@@ -290,7 +290,8 @@ def measured(predictions: DataFrame) -> dict[str, Any]:
 
 def baseline(train: DataFrame, dev: DataFrame, config: BaselineConfig) -> tuple[DataFrame, dict[str, Any]]:
     """Predictions of the linear baseline for ``dev``, and the metrics."""
-    found = features.fit_predict(train, dev, "source_id", config.text_column, config.target_column, config.c, (config.word_min_df, config.char_min_df), config.max_iter)
+    vectorizer = features.Vectorizer(config.word_min_df, config.char_min_df, tuple(config.word_ngrams), tuple(config.char_ngrams), config.lowercase)
+    found = features.fit_predict(train, dev, "source_id", config.text_column, config.target_column, config.c, config.max_iter, vectorizer)
     return found, measured(found) | {"train_rows": train.count(), "dev_rows": dev.count()}
 
 

@@ -214,7 +214,7 @@ ORACLES = {
     "E11_texts_in_files": f"with {_OCC} select text_hash, count(distinct file) as n_files from occ group by 1 having count(distinct file) > 1",
     "D11_G3_H6_file_pairs": f"""with {_OCC}, d as (select distinct text_hash, file from occ)
       select a.file as file_a, b.file as file_b, count(*) as n_shared from d a join d b on a.text_hash = b.text_hash and a.file < b.file
-      group by 1, 2 order by n_shared desc, file_a, file_b limit 100""",
+      group by 1, 2""",
     "E10_G4_cross_file_conflicts": f"with {_OCC} {_CONFLICTS}",
     "H3_shared_anchor_texts": f"with {_OCC} {_SHARED}",
     "E32_safety": f"""with {_OCC} select 'unique_texts' as measure, count(distinct text_hash) as n from occ

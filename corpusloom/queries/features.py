@@ -60,13 +60,6 @@ def ood_delta(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(M.deltas(outside, measured(rows.join(inside, "record_id", "left_semi")), KEY, ["accuracy", "macro_f1", "weighted_f1"]))
 
 
-def robustness_delta(spark: SparkSession, folder: str) -> DataFrame:
-    """Accuracy on records of odd id against those of even id, by model; `robustness` compares perturbed texts."""
-    rows = predictions(spark, folder)
-    part = lambda odd: M.accuracy(rows.where(F.col("record_id") % 2 == odd), KEY).select("model_name", "accuracy")
-    return _rounded(M.deltas(part(1), part(0), KEY, ["accuracy"]))
-
-
 def robustness(spark: SparkSession, folder: str) -> DataFrame:
     """What the TF-IDF classifier loses on each perturbation family of all labelled candidates.
 
@@ -89,7 +82,7 @@ def robustness(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "L1_E30_word_terms": _frequencies(X.word_ngrams), "L2_char_terms": _frequencies(X.char_ngrams),
     "L1_word_tfidf": _weights(X.word_ngrams), "L2_char_tfidf": _weights(X.char_ngrams), "L3_L4_L5_classifier": classifier,
-    "N1_ood_delta": ood_delta, "N6_robustness_delta": robustness_delta, "N6_robustness": robustness,
+    "N1_ood_delta": ood_delta, "N6_robustness": robustness,
     "N2_typo_noise": _perturbed("typo_noise"), "N3_elongation": _perturbed("elongation"),
     "N4_placeholder_noise": _perturbed("placeholder_noise"), "N5_punctuation_spacing": _perturbed("punctuation_spacing"),
 }
@@ -123,8 +116,6 @@ ORACLES = {
     "N1_ood_delta": f"""with {PREDICTIONS}, labels(label) as (values {", ".join(f"('{x}')" for x in LABELS)}), dev as (select record_id from interim_dataset where split_name = 'dev_core'),
       outs as (select * from pred where record_id not in (select record_id from dev)), ins as (select * from pred where record_id in (select record_id from dev)),
       {_MEASURE.format(name='outs')}, {_MEASURE.format(name='ins')} select o.model_name, {_DELTA(['accuracy', 'macro_f1', 'weighted_f1'])} from outs_m o join ins_m i using (model_name)""",
-    "N6_robustness_delta": f"""with {PREDICTIONS}, h as (select model_name, record_id % 2 as odd, avg(cast(coalesce(true_label = predicted_label, false) as int)) as accuracy from pred group by 1, 2)
-      select o.model_name, {_DELTA(['accuracy'])} from h o join h i on o.model_name = i.model_name and o.odd = 1 and i.odd = 0""",
     "N3_elongation": f"""with {_DOCS}, v as (select record_id, t, regexp_extract(t, '[{"".join(perturb.VOWELS)}]') as x from docs)
       select record_id, case when x = '' then t else substr(t, 1, instr(t, x) - 1) || repeat(x, {_CHOICE('elongation', 3)} + 2) || substr(t, instr(t, x) + 1) end as value from v""",
     "N4_placeholder_noise": f"""with {_DOCS} select record_id, (case when {_CHOICE('user', 2)} = 1 then 'USER ' else '' end) || t || (case when {_CHOICE('url', 2)} = 1 then ' URL' else '' end) as value from docs""",

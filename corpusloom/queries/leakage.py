@@ -7,10 +7,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusloom.functions import tiers
-from corpusloom.functions.labels import LEVANTINE, macro, normalized
+from corpusloom.functions.labels import macro, normalized
 from corpusloom.functions.text import clean, percentage
 from corpusloom.operators import leakage as K
 from corpusloom.operators.selection import clean_split
+from corpusloom.queries.text import STEPS, chained
 from corpusloom.queries.common import CANDIDATES, LABEL_DIM, LEAKAGE, RECORDS, leakage_rows, sql_macro, sql_normalized, sql_tokens, table
 
 FIELDS = ["source_id", "original_text", "processed_text"]
@@ -76,8 +77,8 @@ def index_sizes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
-    """Candidate rows with a reference text above the threshold."""
-    return K.similar_rows(*_sides(spark, folder), THRESHOLD).select("record_id", "split_name")
+    """Candidate rows with a reference text above the threshold, and how many reference rows have one."""
+    return K.similar_rows(*_sides(spark, folder), THRESHOLD).select("record_id", "split_name", "n_links")
 
 
 def near_pairs(spark: SparkSession, folder: str) -> DataFrame:
@@ -120,10 +121,10 @@ def label_inventory(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def mapping_check(spark: SparkSession, folder: str) -> DataFrame:
-    """Whether every Levantine country that occurs is mapped so."""
-    rows = _labelled(spark, folder).where(F.col("normalized_raw_label").isin(LEVANTINE))
-    fine = F.coalesce(F.bool_and(F.col("macro_label") == "Levantine"), F.lit(True))
-    return rows.agg(F.count(F.lit(1)).alias("n_rows"), fine.alias("confirmed"))
+    """Raw labels that the data's own label table lists, each with our mapping and whether they agree on Levantine."""
+    listed = table(spark, folder, "label_map").select(normalized(F.col("raw_label")).alias("label"), F.coalesce("macro_label", F.lit("")).alias("listed")).distinct()
+    ours = F.coalesce(macro(F.col("label")), F.lit(""))
+    return listed.select("label", ours.alias("macro_label"), ((ours == "Levantine") == (F.col("listed") == "Levantine")).alias("confirmed"))
 
 
 def acceptance(spark: SparkSession, folder: str) -> DataFrame:
@@ -190,7 +191,7 @@ ORACLES = {
         union select 'processed_text', processed_text, source_id from ref)
       select field, sha1(value) as value_hash, source_id from v""",
     "E31_index_sizes": f"with {LEAKAGE} select " + ", ".join(f"count(distinct {f}) as n_{f}" for f in FIELDS) + " from ref",
-    "D8_near_duplicates": f"with {_SIM} select record_id, split_name from cand where record_id in (select cid from sim)",
+    "D8_near_duplicates": f"with {_SIM} select record_id, split_name, n_links from cand join (select cid, count(*) as n_links from sim group by 1) on cid = record_id",
     "F5_near_pairs": f"with {_SIM} select cid as candidate_id, min(rid) as reference_id, arg_min(similarity, rid) as similarity from sim group by 1",
     "E16_duplicate_groups": f"with {LEAKAGE} select split_name, sha1(processed_text) as text_hash, count(*) as n_rows, min(source_id) as first_id from leak group by split_name, processed_text having count(*) > 1",
     "E16_duplicate_totals": f"with {LEAKAGE} select count(*) as n_groups, cast(coalesce(sum(n - 1), 0) as bigint) as n_additional_rows from (select count(*) as n from leak group by processed_text having count(*) > 1)",
@@ -205,13 +206,14 @@ ORACLES = {
         round(100.0 * cast(benchmark_n as double) / (select sum(benchmark_n) from b), 2) as benchmark_percent from c join b using (label))
       select *, round(percent - benchmark_percent, 2) as delta_percent from p""",
     "E14_label_inventory": f"with {_LAB} select normalized_raw_label, count(*) as n, bool_or(macro_label is not null) as is_mapped from lab where split_name in ('ood_2020_dev', 'ood_2021_dev') group by 1",
-    "E15_mapping_check": f"with {_LAB} select count(*) as n_rows, coalesce(bool_and(macro_label = 'Levantine'), true) as confirmed from lab where normalized_raw_label in ({', '.join(repr(x) for x in LEVANTINE)})",
+    "E15_mapping_check": "select distinct normalized_raw_label as label, coalesce(macro_label, '') as macro_label, true as confirmed from label_map",
     "C27_acceptance": f"""with {LEAKAGE}, s as (select split_name, count(*) as n_rows, count(distinct case when {_ANY} then source_id end) as n_overlapping from cand group by 1),
       p as (select *, round(100.0 * cast(n_overlapping as double) / n_rows, 2) as pct from s)
       select split_name, n_rows, n_overlapping, case when n_overlapping = 0 then '{tiers.OOD_OK}' when pct <= 5 then '{tiers.HISTORICAL}' else '{tiers.NOT_YET}' end as tier,
         n_overlapping > 0 and pct >= 1 as caveat from p""",
-    "E33_audit_status": f"""with {RECORDS}, r as (select split_name, coalesce(source_id, '') as source_id, coalesce(text, '') as text from interim_dataset),
-      c as ({" union all ".join(f"select '{f}' as check_name, count(distinct {f}) as n from r where split_name = 'dev_core' and {f} in (select {f} from r where split_name = 'train_core')" for f in ("source_id", "text"))})
+    "E33_audit_status": f"""with {RECORDS}, r as (select split_name, coalesce(source_id, '') as source_id, coalesce(text, '') as text, value as processed_text
+        from interim_dataset join ({chained(STEPS)}) using (record_id)),
+      c as ({" union all ".join(f"select '{f}' as check_name, count(distinct {f}) as n from r where split_name = 'dev_core' and {f} in (select {f} from r where split_name = 'train_core')" for f in ("source_id", "text", "processed_text"))})
       select check_name, n, case when (select max(n) from c) > 0 then 'block' else 'pass' end as status from c""",
     "N8_clean_dev": f"with {LEAKAGE} select record_id from cand where processed_text not in (select processed_text from ref)",
 }

@@ -15,8 +15,6 @@ from corpusloom.sources.registry import group_by_ending
 
 ENDINGS = {"first": ["0001.tsv", "0002.tsv"], "second": ["2.tsv", "3.tsv"], "third": ["pool/batch_0004.tsv"]}
 BATCH, ACCUMULATED, WARMUP = 32, 4, 0.1
-#: Tokens in the SQL of L6_tokenised; the query itself takes the configuration's max_length.
-MAX_TOKENS = 8
 
 
 def file_groups(spark: SparkSession, folder: str) -> DataFrame:
@@ -83,10 +81,10 @@ def json_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def raw_pool_defaults(spark: SparkSession, folder: str) -> DataFrame:
-    """Rows with a column that the table lacks, filled by its default."""
-    rows = table(spark, folder, "model_predictions")
-    value = F.col("notes") if "notes" in rows.columns else F.lit("")
-    return rows.select("prediction_id", value.alias("notes"))
+    """Rows of both post tables in one shape: the pre-check lacks the file and its row, which get their defaults."""
+    interim = table(spark, folder, "interim_dataset").select("record_id", "source_file", "source_row_number")
+    pool = interim.unionByName(table(spark, folder, "ood_leakage_precheck").select("record_id"), allowMissingColumns=True)
+    return pool.fillna({"source_file": "", "source_row_number": 0})
 
 
 QUERIES = {
@@ -108,11 +106,12 @@ ORACLES = {
       select model_name, printf('%.4f +/- %.4f', avg(a), stddev_samp(a)) as shown, case when count(*) = 5 then 'cleaned benchmark-safe dev' else 'original full-dev' end || ' (' || count(*) || ' rows)' as five,
         'original full-dev (' || count(*) || ' rows)' as other from r group by 1""",
     "I4_flattened": f"with {PREDICTIONS} select model_name, count(*) as n_rows, count(case when true_label = 'Saudi' then 1 end) as support from pred group by 1",
-    "L6_tokenised": f"""with t as (select record_id, ({sql_tokens("coalesce(processed_text, '')")})[1:{MAX_TOKENS}] as w, macro_label from ood_leakage_precheck)
+    "L6_tokenised": f"""with t as (select record_id, ({sql_tokens("coalesce(processed_text, '')")})[1:128] as w, macro_label from ood_leakage_precheck)
       select record_id, array_to_string([length(x) for x in w], ',') as input_ids, array_to_string([1 for x in w], ',') as attention_mask,
         cast(nullif(list_position(['Saudi', 'Egyptian', 'Levantine', 'Maghrebi'], macro_label), 0) - 1 as int) as labels from t""",
     "N9_script_shares": r"""with c as (select record_id, len(regexp_extract_all(coalesce(text, ''), '[\x{620}-\x{64a}]')) as a, len(regexp_extract_all(coalesce(text, ''), '\p{L}')) as n from interim_dataset)
       select record_id, cast(n as bigint) as n_letters, case when n = 0 then 0.0 else cast(a as double) / n end as arabic_share from c""",
     "C23_fences": "select record_id, coalesce(macro_label, '') as label from interim_dataset where split_name = 'dev_core'",
-    "B14_default_column": "select prediction_id, '' as notes from model_predictions",
+    "B14_default_column": """select record_id, coalesce(source_file, '') as source_file, coalesce(source_row_number, 0) as source_row_number from interim_dataset
+      union all select record_id, '', 0 from ood_leakage_precheck""",
 }

@@ -91,7 +91,7 @@ def test_few_shot(spark):
 
 def test_batches_across_blocks(spark, rows):
     df = spark.createDataFrame([(i * 7 % 1000,) for i in range(1000)], "record_id long")
-    got = rows(selection.numbered(df, ["record_id"], block_rows=90))
+    got = rows(selection.numbered(df, ["record_id"], parts=12))
     assert sorted(got) == [(i, i) for i in range(1000)]
 
 
@@ -153,14 +153,42 @@ def test_providers(monkeypatch):
 
 
 def test_configs(tmp_path):
-    (tmp_path / "c.json").write_text(json.dumps({"data": {"train_path": "t"}, "c": 2.0}))
+    (tmp_path / "c.json").write_text(json.dumps({"data": {"train_path": "t"}, "model": {"C": 2}}))
     c = config.load(tmp_path / "c.json", config.BaselineConfig)
-    assert (c.train_path, c.c, c.word_min_df) == ("t", 2.0, 2)
+    assert (c.train_path, c.c, c.word_min_df) == ("t", 2.0, 2) and isinstance(c.c, float)
+    (tmp_path / "d.json").write_text(json.dumps({"provider": {"name": "x", "nickname": "y"}, "batch_size": 3}))
+    with pytest.raises(ValueError, match="no setting batch_size, provider.nickname"):
+        config.load(tmp_path / "d.json", config.InferenceConfig)
+    (tmp_path / "e.json").write_text(json.dumps({"optimizer": {"type": "sgd"}}))
+    with pytest.raises(ValueError, match="optimizer='sgd'"):
+        config.load(tmp_path / "e.json", config.EncoderConfig)
     assert config.check(config.EncoderConfig()).seed == 42
     with pytest.raises(ValueError, match="optimizer='sgd'.*warmup_ratio=2"):
         config.check(config.EncoderConfig(optimizer="sgd", warmup_ratio=2))
 
 
+@pytest.mark.parametrize(
+    ("kind", "text", "values"),
+    [
+        (config.BaselineConfig, "features:\n  lowercase: true\n  word:\n    ngram_range: [1, 3]\n    min_df: 1\n  char:\n    min_df: 4\nmodel:\n  C: 4.0\n  random_state: 7\n"
+         "labels:\n  order: [Maghrebi, Saudi, Egyptian, Levantine]\noutput:\n  report_dir: out\n  prefix: p\n",
+         {"lowercase": True, "word_ngrams": [1, 3], "word_min_df": 1, "char_min_df": 4, "char_ngrams": [3, 5], "seed": 7, "output_dir": "out", "prefix": "p",
+          "labels": ["Maghrebi", "Saudi", "Egyptian", "Levantine"]}),
+        (config.HardSubsetConfig, "artifacts:\n  classical_predictions_path: a.csv\n  gemini_predictions_path: b.csv\nprovider:\n  name: anthropic_messages\n  model: m\n"
+         "  input_price_per_1m_tokens: 3.0\n  output_price_per_1m_tokens:\ninference:\n  batch_size: 20\n  max_completion_tokens: 400\nfew_shot:\n  examples_per_class: 3\n",
+         {"classical_predictions": "a.csv", "llm_predictions": "b.csv", "provider": "anthropic_messages", "model": "m", "price_in": 3.0, "price_out": None, "batch_size": 20,
+          "max_completion_tokens": 400, "few_shot_examples_per_class": 3}),
+        (config.EncoderConfig, "model:\n  name_or_path: n\n  max_length: 64\ntraining:\n  learning_rate: 3.0e-5\n  num_epochs: 2\n  max_grad_norm: 1\nloss:\n  class_weights: balanced\n"
+         "seed: 123\nreproducibility:\n  cudnn_benchmark: true\noutput:\n  checkpoint_dir: k\n",
+         {"model": "n", "max_length": 64, "learning_rate": 3e-5, "epochs": 2, "max_grad_norm": 1.0, "class_weights": "balanced", "seed": 123, "cudnn_benchmark": True, "checkpoint_dir": "k"}),
+    ],
+)
+def test_config_places(tmp_path, kind, text, values):
+    (tmp_path / "c.yaml").write_text(text)
+    got = config.load(tmp_path / "c.yaml", kind)
+    assert {k: getattr(got, k) for k in values} == values
+
+
 def test_ngrams_and_tfidf(spark, rows):
     df = spark.createDataFrame([(1, "a bb a"), (2, "bb"), (3, None)], "k long, t string")
     grams = {r.k: r for r in df.select("k", features.word_ngrams(F.col("t")).alias("w"), features.char_ngrams(F.col("t")).alias("c")).collect()}

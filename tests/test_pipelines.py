@@ -100,7 +100,7 @@ def test_similarity_at_the_threshold(spark, rows):
     df = lambda *t: spark.createDataFrame([(i, x) for i, x in enumerate(t)], "record_id long, processed_text string")
     ten = " ".join(f"w{i}" for i in range(10))
     nine = " ".join(f"w{i}" for i in range(9))
-    assert rows(leakage.similar_rows(df(ten), df(nine, ten, "", None), 0.9)) == [(1, ten)]
+    assert rows(leakage.similar_rows(df(ten, ten), df(nine, ten, "", None), 0.9)) == [(1, ten, 2)]
     assert rows(leakage.first_partners(df("z", ten, ten), df(ten), 0.9)) == [(0, 1, 1.0)]
 
 

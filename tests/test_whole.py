@@ -8,7 +8,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions.labels import LABELS
-from corpusloom.llm import segment_join
 from corpusloom.operators import metrics
 from corpusloom.operators.perturb import FAMILIES
 from corpusloom.operators.selection import numbered
@@ -55,14 +54,6 @@ def test_all_file_pairs(spark, write):
     assert got[1:] == [(f"f{i:02}", f"f{j:02}", 1) for i in range(20) for j in range(i + 1, 20) if (i, j) != (3, 7)]
 
 
-def test_overlap_of_texts_beyond_16_bits(spark, rows):
-    words = [f"w{i}" for i in range(33000)]
-    data = [(1, "train", " ".join(words)), (2, "dev", " ".join(words[200:])), (3, "dev", " ".join(words[9000:])), (4, "dev", "a b")]
-    df = spark.createDataFrame(data, "record_id long, split_name string, text string")
-    side = F.when(F.col("split_name") == "train", True).otherwise(False)
-    assert rows(segment_join.similar(df, side)) == [(2, 1)]
-
-
 def test_model_inputs_keep_max_length_tokens(spark, rows, write):
     data = [(n, " ".join(["ab"] * n), "Saudi", "i", "t") for n in (0, 8, 9, 128, 129)]
     folder = write("ood_leakage_precheck", data, "record_id long, processed_text string, macro_label string, source_id string, original_text string")
@@ -102,5 +93,14 @@ def test_robustness_scores_every_family_on_all_candidates(spark):
 
 def test_numbered_keeps_rows_without_order_key(spark, rows):
     df = spark.createDataFrame([(None if i % 4 == 0 else i, i) for i in range(40)], "k long, i long")
-    whole, blocks = (rows(numbered(df, ["k", "i"], block_rows=b)) for b in (100, 7))
-    assert len(whole) == 40 and blocks == whole
+    want = [(None, i) for i in range(0, 40, 4)] + [(i, i) for i in range(40) if i % 4]
+    for parts in (None, 1, 6):
+        assert rows(numbered(df, ["k", "i"], parts=parts)) == sorted(((k, i, at) for at, (k, i) in enumerate(want)), key=repr)
+
+
+def test_numbered_cuts_a_hot_first_value(spark):
+    df = spark.range(20000).selectExpr("if(id % 3 = 0, id, 7) as k", "id")
+    out = numbered(df, ["k", "id"], parts=2000)
+    got = out.orderBy("position").collect()
+    assert [r.position for r in got] == list(range(20000)) and [(r.k, r.id) for r in got] == sorted((r.k, r.id) for r in got)
+    assert numbered(df.where("false"), ["k", "id"]).count() == 0
