@@ -38,8 +38,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.hashing import key128
-from corpusloom.functions.words import word_set
-from corpusloom.plans.components import components
+from corpusloom.llm.words import word_set
+from corpusloom.llm.components import components
 from corpusloom.plans.lineage import cut
 from corpusloom.plans.shipping import ship
 
