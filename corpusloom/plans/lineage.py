@@ -28,3 +28,12 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once, kept in the shared folder, read from there after."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def drop(df: DataFrame) -> None:
+    """Delete what ``cut`` wrote for ``df``; plans that read it can't run any more."""
+    sc = df.sparkSession.sparkContext
+    written = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+    if written.isDefined():
+        path = sc._jvm.org.apache.hadoop.fs.Path(written.get())
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
