@@ -36,6 +36,10 @@ _BEST = lambda f: (
 _ELECTED = " union all ".join(map(_BEST, ("source_dataset", "raw_label", "macro_label")))
 _COUNTS = """cnt as (select 'macro_label' as field_name, macro_label as category, count(*) as n from interim_dataset group by 1, 2
   union all select 'normalized_raw_label', normalized_raw_label, count(*) from interim_dataset group by 1, 2)"""
+_SIMILAR = f"""s as (select record_id, {_WORDS("coalesce(processed_text, '')")} as s from ood_leakage_precheck),
+  w as (select record_id, len(s) as n, unnest(s) as w from s),
+  m as (select a.record_id as id_a, b.record_id as id_b, any_value(a.n) as x, any_value(b.n) as y, count(*) as i from w a join w b on a.w = b.w and a.record_id < b.record_id group by 1, 2),
+  prs as (select id_a, id_b from m where i * 10 > (x + y - i) * 7)"""
 ORACLES = {
     "p1_found": f"with {KEYED} select first_id, record_id as copy_id from keyd join grp using (tab, k) where record_id <> first_id",
     "p1_records": f"with {KEYED} select tab as table_name, first_id, n_copies from grp",
@@ -43,10 +47,11 @@ ORACLES = {
     "p2_overlaps": f"""with {_TRAIN_EVAL} select prs.tab as table_name, evl.split_name, evl.source_dataset, count(*) as n_pairs, count(distinct e) as n_records
       from prs join evl on evl.tab = prs.tab and evl.record_id = prs.e group by 1, 2, 3""",
     "p3_found": f"with {KEYED}, {_FILLED} select first_id, field_name, from_id from ({_ELECTED})",
-    "p4_found": f"""with s as (select record_id, {_WORDS("coalesce(processed_text, '')")} as s from ood_leakage_precheck),
-      w as (select record_id, len(s) as n, unnest(s) as w from s),
-      m as (select a.record_id as id_a, b.record_id as id_b, any_value(a.n) as x, any_value(b.n) as y, count(*) as i from w a join w b on a.w = b.w and a.record_id < b.record_id group by 1, 2)
-      select id_a, id_b from m where i * 10 > (x + y - i) * 7""",
+    "p4_found": f"with {_SIMILAR} select id_a, id_b from prs",
+    "p4_groups": f"""with recursive {_SIMILAR}, edg as (select id_a as a, id_b as b from prs union all select id_b, id_a from prs),
+      rch as (select distinct record_id as x, record_id as y from w union select x, b from rch join edg on a = y),
+      lnk as (select a, count(*) as n from edg group by 1)
+      select x as record_id, min(y) as group_id, coalesce(any_value(n), 0) as n_links from rch left join lnk on a = x group by 1""",
     "p5_found": f"""with {_COUNTS} select target_name, category from sample_targets left join cnt using (field_name, category)
       where coalesce(n, 0) < min_rows or coalesce(n, 0) < target_share * sample_fraction * (select count(*) from interim_dataset)""",
 }
