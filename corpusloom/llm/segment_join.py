@@ -10,7 +10,7 @@ For an evaluation sequence of l words no partner is further than k(l), so it is
 cut into k(l) + 1 segments and at least one of them stands unbroken in every
 partner.  Training sequences give their substrings of the lengths that segments
 of partners can have; both are joined on the substring's hash, at allowed
-lengths and positions only.  Every sequence carries 128 parity bits of its words;
+lengths and positions only.  Every sequence carries 64 parity bits of its words;
 two sequences are at least as far apart as their bits, so the join itself drops
 what is too far, and every candidate left is verified by banded dynamic
 programming.  Texts with equal word sets are one class on each side, so a hot
@@ -54,7 +54,7 @@ CELLS = 1 << 22
 BASE = 0x9E3779B97F4A7C15
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
 MIX = np.uint64(0xD6E8FEB86659FD93)
-PIECES = "h long, k1 long, n int, p int, s1 long, s2 long"
+PIECES = "h long, k1 long, n int, p int, s long"
 
 
 def edits(l: int) -> int:
@@ -106,8 +106,7 @@ def pieces(pick: Callable[[int], list[tuple[np.ndarray, int]]]) -> Callable[[Ite
                 r = np.flatnonzero(sizes == n)
                 words = values[starts[r][:, None] + np.arange(n)]
                 bits = np.left_shift(np.uint64(1), words & np.uint64(63))
-                half = (words & np.uint64(64)) > 0
-                parity = [np.bitwise_xor.reduce(np.where(half == x, bits, np.uint64(0)), axis=1) for x in (False, True)]
+                parity = np.bitwise_xor.reduce(bits, axis=1)
                 sums = np.zeros((len(r), n + 1), np.uint64)
                 np.cumsum(words * _powers(BASE, n), axis=1, out=sums[:, 1:])
                 back = _powers(BASE_INVERSE, n)
@@ -115,9 +114,8 @@ def pieces(pick: Callable[[int], list[tuple[np.ndarray, int]]]) -> Callable[[Ite
                     h = (sums[:, at + size] - sums[:, at]) * back[at] + np.uint64(size)
                     h = ((h ^ (h >> np.uint64(32))) * MIX).ravel()
                     each = lambda x: np.repeat(x, len(at))  # noqa: B023, E731
-                    columns = [h.view(np.int64), each(key[r]), np.full(len(h), n, np.int32), np.tile(at, len(r)).astype(np.int32)]
-                    columns += [each(x).view(np.int64) for x in parity]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["h", "k1", "n", "p", "s1", "s2"])
+                    columns = [h.view(np.int64), each(key[r]), np.full(len(h), n, np.int32), np.tile(at, len(r)).astype(np.int32), each(parity).view(np.int64)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["h", "k1", "n", "p", "s"])
 
     return run
 
@@ -232,12 +230,12 @@ def class_pairs(rows: DataFrame) -> DataFrame:
     sets = cut(rows.groupBy("train", "k1", "k2").agg(F.first("w").alias("w")))
     e = sets.where("not train").select("k1", "w").mapInArrow(pieces(segments), PIECES)
     t = sets.where("train").select("k1", "w").mapInArrow(pieces(substrings), PIECES)
-    e = e.select("h", F.col("k1").alias("e1"), F.col("n").alias("l"), F.col("p").alias("pe"), F.col("s1").alias("es1"), F.col("s2").alias("es2"))
-    t = t.select("h", F.col("k1").alias("t1"), F.col("n").alias("a"), F.col("p").alias("pt"), "s1", "s2")
+    e = e.select("h", F.col("k1").alias("e1"), F.col("n").alias("l"), F.col("p").alias("pe"), F.col("s").alias("es"))
+    t = t.select("h", F.col("k1").alias("t1"), F.col("n").alias("a"), F.col("p").alias("pt"), "s")
     a, l, most = F.col("a"), F.col("l"), _pair_edits(F.col("a"), F.col("l"))
     shift = F.col("pt") - F.col("pe")
     near = (F.abs(a - l) <= most) & (shift * 2 >= -(most - a + l)) & (shift * 2 <= most + a - l)
-    near &= F.bit_count(F.col("s1").bitwiseXOR(F.col("es1"))) + F.bit_count(F.col("s2").bitwiseXOR(F.col("es2"))) <= most
+    near &= F.bit_count(F.col("s").bitwiseXOR(F.col("es"))) <= most
     shared = salts(e)
     keys = ["h"]
     if not shared.isEmpty():
