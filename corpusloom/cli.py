@@ -9,8 +9,9 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.plans import pipelines, reports
+from corpusloom.plans import runs as model_runs
 from corpusloom.sources import readers, sinks
-from corpusloom.sources.config import BaselineConfig, InferenceConfig, load
+from corpusloom.sources.config import BaselineConfig, HardSubsetConfig, InferenceConfig, load
 from corpusloom.sources.providers import Client
 
 
@@ -21,7 +22,7 @@ def parser() -> argparse.ArgumentParser:
     for name, arguments in {
         "validate": ["data_root", "report_dir"], "curate": ["data_root", "output_dir", "report_dir"], "clean": ["input_dir", "output_dir"],
         "audit": ["train", "dev", "report_dir"], "precheck": ["data_root", "interim_dir", "processed_dir", "report_dir"],
-        "baseline": ["config"], "infer": ["config"], "stability": ["folder", "pattern", "report_dir"],
+        "baseline": ["config"], "robustness": ["config"], "infer": ["config"], "hard-subset": ["config"], "stability": ["folder", "pattern", "report_dir"],
     }.items():
         command = sub.add_parser(name)
         for a in arguments:
@@ -61,17 +62,15 @@ def run(args: argparse.Namespace, spark: SparkSession) -> dict[str, Path]:
         texts = {f"precheck_{n}.md": reports.precheck(p) for n, p in enumerate(payloads)} | {"precheck_summary.md": reports.precheck_summary(payloads, pipelines.recommendation(payloads))}
         return sinks.fan_out(args.report_dir, None, {f"precheck_{n}.json": p for n, p in enumerate(payloads)}, texts)
     if c == "baseline":
-        config = load(args.config, BaselineConfig)
-        rows = [readers.table(spark, p, columns=["source_id", config.text_column, config.target_column]) for p in (config.train_path, config.dev_path)]
-        found, metrics = pipelines.baseline(*rows, config)
-        return sinks.fan_out(config.output_dir, {"predictions.csv": found}, {"metrics.json": metrics}, {"summary.md": reports.model("Baseline", metrics), "report.txt": reports.classification(metrics)})
+        return model_runs.baseline_run(spark, load(args.config, BaselineConfig))
+    if c == "robustness":
+        return model_runs.robustness_run(spark, load(args.config, BaselineConfig))
     if c == "infer":
         config = load(args.config, InferenceConfig)
-        train = readers.table(spark, config.train_path, columns=["source_id", config.text_column, config.target_column])
-        dev = readers.numbered(spark, config.dev_path, columns=["source_id", config.text_column, config.target_column])
-        done = {m: pipelines.prompted_run(train, dev, config, lambda: Client(config), m) for m in ("zero_shot", "few_shot")}
-        runs = {m: x[1] for m, x in done.items()}
-        return sinks.fan_out(config.output_dir, {f"{config.prefix}_{m}.csv": x[0] for m, x in done.items()}, {f"{config.prefix}_metrics.json": runs}, {f"{config.prefix}_summary.md": reports.comparison(config.prefix, runs)})
+        return model_runs.inference_run(spark, config, lambda: Client(config))
+    if c == "hard-subset":
+        subset = load(args.config, HardSubsetConfig)
+        return model_runs.hard_subset_run(spark, subset, lambda: Client(subset))
     runs = readers.seed_runs(spark, args.folder, args.seeds, args.pattern)
     payload = pipelines.stability(runs.withColumn("seed", F.col("seed").cast("int")))
     return sinks.fan_out(args.report_dir, None, {"stability.json": payload}, {"stability.md": reports.stability(payload)})

@@ -18,6 +18,7 @@ from corpusloom.functions.labels import ALIASES, LABELS, LEVANTINE, MACRO, TRACK
 from corpusloom.functions.text import clean, fingerprint, row_fingerprint, strip_ws, token_count
 from corpusloom.operators import curate, features, inference, leakage, selection, validate
 from corpusloom.operators import metrics as M
+from corpusloom.plans.lineage import cut
 from corpusloom.sources import readers
 from corpusloom.sources.config import BaselineConfig, InferenceConfig
 from corpusloom.sources.registry import LARGE_FILE_BYTES, file_group, match
@@ -302,8 +303,10 @@ def prompted_run(train: DataFrame, dev: DataFrame, config: InferenceConfig, make
     if mode == "few_shot":
         chosen = selection.require_per_class(selection.few_shot(train, config.text_column, config.target_column, config.few_shot_examples_per_class), config.few_shot_examples_per_class)
         support = F.lit(inference.support_block(chosen).first()["support"])
-    replies = inference.ask(inference.prompts(rows, config.text_column, support), make_provider, inference.developer_prompt(config.labels)).cache()
-    found = inference.answered(rows, inference.answers(replies)).select("source_id", F.col(config.target_column).alias("true_label"), "predicted_label").cache()
+    replies = inference.ask(inference.prompts(rows, config.text_column, support), make_provider, inference.developer_prompt(config.labels))
+    replies = cut(replies)  # answers are paid for: asked once, kept where a lost executor doesn't take them
+    found = inference.answered(rows, inference.answers(replies)).select("source_id", F.col(config.target_column).alias("true_label"), "predicted_label")
+    found = cut(found)
     n = found.count()
     spent = M.usage(replies.withColumn("k", F.lit(1)), ["k"], "prompt_tokens", "completion_tokens", "latency_ms", config.price_in, config.price_out).drop("k").first()
     usage = (spent.asDict() if spent else {}) | {"latency_per_row_ms": (spent.total_latency_ms / n if spent and n else 0.0)}

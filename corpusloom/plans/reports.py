@@ -105,6 +105,29 @@ def comparison(title: str, runs: dict[str, dict[str, Any]]) -> str:
     return document(title, [("Runs", records(rows))])
 
 
+def asked(title: str, runs: dict[str, dict[str, Any]]) -> str:
+    """Runs of a text model: their metrics, and what they cost in requests, tokens and time."""
+    usage = [{"run": k, **{x: v for x, v in r["usage"].items() if v is not None}} for k, r in runs.items()]
+    per = [{"run": k, "label": x, **m} for k, r in runs.items() for x, m in r["per_class_metrics"].items()]
+    columns = list(dict.fromkeys(c for u in usage for c in u))
+    return document(title, [
+        ("Runs", records([{"run": k, **{m: r[m] for m in ("rows", "accuracy", "macro_f1", "weighted_f1", "present_macro_f1")}} for k, r in runs.items()])),
+        ("Usage", records(usage, columns)), ("Labels", records(per)),
+    ])
+
+
+def errors(title: str, runs: dict[str, dict[str, Any]], shown: dict[str, list[dict[str, Any]]]) -> str:
+    """Which labels every run confuses, with the first rows of the tracked confusions."""
+    sections = []
+    for name, run in runs.items():
+        by_label = [{"label": t, "rows": sum(row), "errors": sum(row) - row[i]} for i, (t, row) in enumerate(zip(LABELS, run["confusion_matrix"], strict=True))]
+        sections += [
+            (f"Errors by label, {name}", records(by_label)), (f"Most frequent confusions, {name}", records(run["top_confusions"])),
+            (f"Tracked confusions, {name}", mapping(run["tracked"], ("direction", "n"))), (f"First rows, {name}", records(shown.get(name, []))),
+        ]
+    return document(title, sections)
+
+
 def hard_subset(total: int, size: int, selectors: dict[str, int], combinations: dict[str, int], labels: dict[str, int]) -> str:
     """Definition of the hard subset."""
     return document("Hard subset", [
