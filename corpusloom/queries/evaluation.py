@@ -246,6 +246,14 @@ _SCORE = f"""((case when {_NT} between 3 and 8 then 8 else 0 end) - abs({_NT} -
 _KEYS = f"-({_SCORE}), {_NT}, length({_T}), len(regexp_extract_all({_T}, '[A-Za-z]')), coalesce(source_id, '')"
 _BARE = f"regexp_replace({_T}, '^[{WS}]+|[{WS}]+$', '', 'g')"
 ORACLES = {
+    "F7_C31_early_stop": f"""with recursive {PREDICTIONS}, a as (select model_name, record_id % 5 as seed, avg(cast({_RIGHT} as int)) as value from pred group by 1, 2),
+      h as (select model_name, seed, value, row_number() over (partition by model_name order by seed) as i from a),
+      st as (select distinct model_name, cast(0 as bigint) as i, cast(null as double) as best, 0 as best_epoch, 0 as bad, 0 as last_epoch, false as stopped from h union all
+        select h.model_name, h.i, case when stopped or not up then best else value end, case when stopped or not up then best_epoch else seed end,
+          case when stopped then bad when up then 0 else bad + 1 end, case when stopped then last_epoch else seed end, stopped or (not up and bad + 1 >= 2)
+        from (select h.model_name, h.i, h.seed, h.value, st.best, st.best_epoch, st.bad, st.last_epoch, st.stopped, st.best is null or h.value > st.best + 0.001 as up
+          from st join h on h.model_name = st.model_name and h.i = st.i + 1) as h)
+      select model_name, cast(best_epoch as int) as best_epoch, cast(last_epoch as int) as last_epoch, stopped from st qualify row_number() over (partition by model_name order by i desc) = 1""",
     "D9_D10_latest_predictions": f"with {PREDICTIONS} select record_id, model_name, prediction_id, predicted_label from pred",
     "B9_B11_error_flags": "select model_name, is_error, cast(true_label <> predicted_label as varchar) as differs, count(*) as n from model_predictions group by 1, 2, 3",
     "E18_confusion": f"with {PREDICTIONS} select model_name, true_label, predicted_label, count(*) as n from pred group by 1, 2, 3",

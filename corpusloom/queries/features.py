@@ -105,6 +105,12 @@ _MEASURE = """{name}_acc as (select model_name, avg(cast(coalesce(true_label = p
     (select count(*) from {name} p where p.model_name = m.model_name and predicted_label = l.label) as q from (select distinct model_name from {name}) m cross join labels l),
   {name}_f as (select model_name, avg(f) as macro_f1, sum(f * s) / sum(s) as weighted_f1 from (select *, case when q + s = 0 then 0.0 else cast(2 * tp as double) / (q + s) end as f from {name}_per) group by 1),
   {name}_m as (select model_name, accuracy, macro_f1, weighted_f1 from {name}_acc join {name}_f using (model_name))"""
+_TYPO = lambda i, last: (
+    f"e{i + 1} as (select record_id, case when part < 1 then x else substr(x, 1, {i} * part + draw % greatest(part, 1)) || (case when draw % 3 = 0 then substr(x, draw % greatest(len(x), 1) + 1, 1) "
+    f"else '' end) || substr(x, {i} * part + draw % greatest(part, 1) + 2) end as x from (select record_id, x, len(x) // 3 as part, "
+    f"cast('0x' || substr(sha1('typo:{i}:' || cast(record_id as varchar)), 1, 8) as bigint) as draw from {last}))"
+)
+_TYPOS = ", ".join(["e0 as (select record_id, t as x from docs)", *[_TYPO(i, f"e{i}") for i in range(3)]])
 _DELTA = lambda cs: ", ".join(
     f"round(o.{c}, 9) as {c}, round(i.{c}, 9) as {c}_reference, round(o.{c} - i.{c}, 9) as {c}_delta, round((i.{c} - o.{c}) * 100 / i.{c}, 9) as {c}_drop_percent" for c in cs
 )
@@ -116,6 +122,7 @@ ORACLES = {
     "N1_ood_delta": f"""with {PREDICTIONS}, labels(label) as (values {", ".join(f"('{x}')" for x in LABELS)}), dev as (select record_id from interim_dataset where split_name = 'dev_core'),
       outs as (select * from pred where record_id not in (select record_id from dev)), ins as (select * from pred where record_id in (select record_id from dev)),
       {_MEASURE.format(name='outs')}, {_MEASURE.format(name='ins')} select o.model_name, {_DELTA(['accuracy', 'macro_f1', 'weighted_f1'])} from outs_m o join ins_m i using (model_name)""",
+    "N2_typo_noise": f"with {_DOCS}, {_TYPOS} select record_id, x as value from e3",
     "N3_elongation": f"""with {_DOCS}, v as (select record_id, t, regexp_extract(t, '[{"".join(perturb.VOWELS)}]') as x from docs)
       select record_id, case when x = '' then t else substr(t, 1, instr(t, x) - 1) || repeat(x, {_CHOICE('elongation', 3)} + 2) || substr(t, instr(t, x) + 1) end as value from v""",
     "N4_placeholder_noise": f"""with {_DOCS} select record_id, (case when {_CHOICE('user', 2)} = 1 then 'USER ' else '' end) || t || (case when {_CHOICE('url', 2)} = 1 then ' URL' else '' end) as value from docs""",
