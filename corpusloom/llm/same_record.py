@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.hashing import check_word, key128
 from corpusloom.llm.tables import fixed_rows
+from corpusloom.plans.lineage import cut
 
 IGNORED = r"[\p{P}\p{IsWhite_Space}]+"
 CUTS = r"[|;\n]"
@@ -54,11 +55,15 @@ def squeezed_names(form_fields: DataFrame) -> list[str]:
 
 
 def keyed(df: DataFrame, field_names: list[str], text: str = "text", extra: list[str] | None = None) -> DataFrame:
-    """record_id, key and ``extra`` columns of every row with a letter or digit."""
+    """record_id, key and ``extra`` columns of every row with a letter or digit.
+
+    The narrow rows are kept: grouping and joining back read them, and each text is
+    canonicalised once.
+    """
     form = canonical(F.col(text), field_names)
-    return df.where(F.col("record_id").isNotNull() & F.col(text).rlike(r"[\p{L}\p{N}]")).select(
+    return cut(df.where(F.col("record_id").isNotNull() & F.col(text).rlike(r"[\p{L}\p{N}]")).select(
         "record_id", *(extra or []), *key128(form, ("k1", "k2")), check_word(form).alias("k3")
-    )
+    ))
 
 
 def groups(rows: DataFrame) -> DataFrame:
