@@ -9,7 +9,7 @@ from uuid import uuid4
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -280,9 +280,10 @@ def _mixed(marks: np.ndarray, tf: np.ndarray) -> np.ndarray:
     return (x ^ (x >> np.uint64(31))).view(np.int64)
 
 
-def spread(spark: SparkSession) -> int:
-    """Partitions for texts that Python works on: at least one for each core, whatever the files are."""
-    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+def spread(rows: DataFrame, *columns: str) -> DataFrame:
+    """Texts that Python works on in at least one partition for each core, whatever the files are."""
+    spark = rows.sparkSession
+    return rows.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *columns)
 
 
 def fit_predict(
@@ -292,12 +293,11 @@ def fit_predict(
 
     Equal texts of one label are one training row with their number; a label that is none of the targets is an error.
     """
-    n = spread(train.sparkSession)
     label = F.coalesce(label_index(F.col(target)), F.raise_error(F.lit("a training row has no target label")).cast("int"))
-    rows = train.select(F.col(text).alias("text"), label.alias("label")).repartition(n, "text", "label").groupBy("text", "label").agg(F.count(F.lit(1)).alias("n")).cache()
+    rows = spread(train.select(F.col(text).alias("text"), label.alias("label")), "text", "label").groupBy("text", "label").agg(F.count(F.lit(1)).alias("n")).cache()
     vectors = (vectorizer or Vectorizer()).fit(rows, "text", "n")
     blocks = vectors.blocks(rows, "text", F.col("label"), "n").cache()
     coefficients = softmax.fit(blocks, vectors.size, len(LABELS), 1.0 / (c * vectors.n_rows), max_iter)
     blocks.unpersist()
     rows.unpersist()
-    return vectors.predict(dev.repartition(n, key), key, text, target, coefficients)
+    return vectors.predict(dev, key, text, target, coefficients)

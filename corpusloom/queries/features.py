@@ -38,7 +38,7 @@ def _weights(terms):
 def classifier(spark: SparkSession, folder: str) -> DataFrame:
     """Predictions of the TF-IDF classifier for the candidates (fit on labelled reference rows)."""
     rows = _rows(spark, folder).where(F.col("macro_label").isin(LABELS))
-    train, dev = rows.where("split_name = 'train_core'"), rows.where("split_name <> 'train_core'")
+    train, dev = rows.where("split_name = 'train_core'"), X.spread(rows.where("split_name <> 'train_core'"), "record_id")
     return X.fit_predict(train, dev, "record_id", "processed_text", "macro_label", max_iter=100)
 
 
@@ -66,17 +66,17 @@ def robustness(spark: SparkSession, folder: str) -> DataFrame:
     A family is excluded if most of its texts are changed too much.
     """
     rows = _rows(spark, folder).where(F.col("macro_label").isin(LABELS))
-    train = rows.where("split_name = 'train_core'").withColumn("record_id", F.col("record_id").cast("string"))
+    train = rows.where("split_name = 'train_core'")
     text, key = F.col("processed_text"), F.col("record_id")
     texts = {"clean": text} | {name: rule(text, key) for name, rule in perturb.FAMILIES.items()}
     versions = F.explode(F.array(*[F.struct(F.lit(name).alias("family"), t.alias("t")) for name, t in texts.items()]))
-    dev = rows.where("split_name <> 'train_core'").select("record_id", "macro_label", text.alias("clean"), versions.alias("v"))
-    dev = dev.select(F.concat_ws(":", "v.family", "record_id").alias("record_id"), "macro_label", "clean", "v.family", F.col("v.t").alias("processed_text"))
-    scored = X.fit_predict(train, dev, "record_id", "processed_text", "macro_label", max_iter=100)
-    scored = scored.withColumn("family", F.substring_index("record_id", ":", 1)).withColumn("model_name", F.lit("classical_tfidf"))
-    much = perturb.too_aggressive(F.col("clean"), text).cast("int")
-    excluded = dev.where("family <> 'clean'").groupBy("family").agg((F.avg(much) > 0.5).alias("excluded"))
-    return _rounded(M.robustness(cut(scored), cut(excluded)))
+    dev = X.spread(rows.where("split_name <> 'train_core'"), "record_id").select("macro_label", text.alias("clean"), versions.alias("v"))
+    much = F.when(F.col("v.family") != "clean", perturb.too_aggressive(F.col("clean"), F.col("v.t")).cast("int"))
+    dev = dev.select(F.struct("v.family", much.alias("much")).alias("version"), "macro_label", F.col("v.t").alias("processed_text"))
+    scored = X.fit_predict(train, dev, "version", "processed_text", "macro_label", max_iter=100)
+    scored = cut(scored.select("version.*", F.lit("classical_tfidf").alias("model_name"), "true_label", "predicted_label"))
+    excluded = scored.where("family <> 'clean'").groupBy("family").agg((F.avg("much") > 0.5).alias("excluded"))
+    return _rounded(M.robustness(scored.drop("much"), excluded))
 
 
 QUERIES = {

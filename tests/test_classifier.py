@@ -5,7 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions.labels import LABELS, label_index
-from corpusloom.operators import features, softmax
+from corpusloom.operators import features, perturb, softmax
+from corpusloom.plans import lineage
+from corpusloom.queries import features as queries
 
 TEXTS = ["وش ابغى توه ابغى", "وش توه", "ايه ده ازاي", "ايه ايه ده", "شو هاد هيك", "شو هيك a", "واخا دابا بزاف", "دابا بزاف وش", "", None, "a_1 é  x", "x é"]
 DATA = [(i, t, LABELS[i // 2 % 4]) for i, t in enumerate(TEXTS)] + [(20 + i, TEXTS[i % 5], LABELS[i % 5 // 2 % 4]) for i in range(15)]
@@ -82,3 +84,18 @@ def test_fit_needs_rows_and_labels(spark, train):
         features.fit_predict(train.where("false"), train, "k", "t", "y")
     with pytest.raises(Exception, match="no target label"):
         features.fit_predict(train.withColumn("y", F.lit("?")), train, "k", "t", "y")
+
+
+def test_robustness_perturbs_every_candidate_once(spark, tmp_path, monkeypatch):
+    data = [(k, "train_core", t or "", y) for k, t, y in DATA] + [(100 + k, "ood_2020_dev", t or "", y) for k, t, y in DATA]
+    schema = "record_id long, split_name string, processed_text string, macro_label string"
+    df = spark.createDataFrame(data, schema).selectExpr("*", "'' as source_id", "processed_text as original_text")
+    df.write.parquet(str(tmp_path / "ood_leakage_precheck.parquet"))
+    seen = []
+    monkeypatch.setattr(queries, "cut", lambda d: seen.append(d._jdf.queryExecution().executedPlan().toString()) or lineage.cut(d))
+    got = {r.family: r for r in queries.robustness(spark, str(tmp_path)).collect()}
+    assert len(seen) == 1 and seen[0].count("Scan parquet") == 1
+    assert {f: r.n_rows for f, r in got.items()} == dict.fromkeys(perturb.FAMILIES, len(DATA))
+    for family, rule in perturb.FAMILIES.items():
+        much = df.where("record_id >= 100").select(perturb.too_aggressive(F.col("processed_text"), rule(F.col("processed_text"), F.col("record_id"))).cast("int").alias("m"))
+        assert got[family].excluded == (much.agg(F.avg("m")).first()[0] > 0.5)
